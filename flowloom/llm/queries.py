@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import chat, mixing
+from flowloom.llm import chat, mixing, quality, zclass
 
 #: A conversation whose texts hold the template's own control strings.
 PROBE = r"\### Assistant: </turn> ok"
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.assess(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
+
+
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return zclass.score(documents, zclass.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -109,7 +119,7 @@ FROM p GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_mix_sources, op10_chat_examples)}
+    return {f.__name__: f for f in (op1_line_quality, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
 
 
 def oracle_sql() -> dict[str, str]:
