@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import chat, mixing, quality, zclass
+from flowloom.llm import chat, mixing, quality, simhash, zclass
 
 #: A conversation whose texts hold the template's own control strings.
 PROBE = r"\### Assistant: </turn> ok"
@@ -21,6 +21,10 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return zclass.score(documents, zclass.train(documents, _table(spark, sf_dir, "labels")))
@@ -119,7 +123,7 @@ FROM p GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_quality, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
+    return {f.__name__: f for f in (op1_line_quality, op2_simhash_components, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
 
 
 def oracle_sql() -> dict[str, str]:
