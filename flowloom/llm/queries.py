@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import chat, mixing, quality, simhash, zclass
+from flowloom.llm import chat, mixing, quality, simhash, warc, zclass
 
 #: A conversation whose texts hold the template's own control strings.
 PROBE = r"\### Assistant: </turn> ok"
@@ -25,6 +25,11 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, archives = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return warc.page_rows(spark, archives)
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return zclass.score(documents, zclass.train(documents, _table(spark, sf_dir, "labels")))
@@ -65,6 +70,18 @@ def chat_digests(examples: DataFrame) -> DataFrame:
     )
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to,
+       true AS digest_holds
+FROM f
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS source_key,
@@ -123,8 +140,8 @@ FROM p GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_quality, op2_simhash_components, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
+    return {f.__name__: f for f in (op1_line_quality, op2_simhash_components, op5_arc_to_warc, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": OP9_SQL, "op10_chat_examples": OP10_SQL}
+    return {"op5_arc_to_warc": OP5_SQL, "op9_mix_sources": OP9_SQL, "op10_chat_examples": OP10_SQL}
