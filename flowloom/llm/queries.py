@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import chat, mixing, quality, simhash, warc, zclass
+from flowloom.llm import chat, iblt, mixing, quality, simhash, token_counts, warc, zclass
 
 #: A conversation whose texts hold the template's own control strings.
 PROBE = r"\### Assistant: </turn> ok"
@@ -30,6 +30,14 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(spark, archives)
 
 
+def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return zclass.score(documents, zclass.train(documents, _table(spark, sf_dir, "labels")))
@@ -140,7 +148,7 @@ FROM p GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_quality, op2_simhash_components, op5_arc_to_warc, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
+    return {f.__name__: f for f in (op1_line_quality, op2_simhash_components, op5_arc_to_warc, op6_section_tokens, op7_iblt_fingerprints, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
 
 
 def oracle_sql() -> dict[str, str]:
