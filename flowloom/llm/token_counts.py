@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,12 @@ class Encoder:
         return (char[begin], char[end - 1]) if len(ids) else (begin, end)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(vocabulary: bytes) -> Encoder:
+    """The encoder of a vocabulary, once for each process."""
+    return Encoder(vocabulary)
+
+
 def attribute(first: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str) -> np.ndarray:
     """Tokens (first and last code points, in order) allocated to each section [begin, end)."""
     if rule in ("first", "last"):
@@ -102,7 +109,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, rule: str =
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for part in slices(batches, "text"):
             rows, columns = [], []
             for i, text in enumerate(texts_of(part, "text")):
