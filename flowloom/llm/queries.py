@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import chat, iblt, mixing, quality, simhash, spm, token_counts, warc, zclass
+from flowloom.llm import chat, iblt, mixing, passages, quality, simhash, spm, token_counts, warc, zclass
 
 #: A conversation whose texts hold the template's own control strings.
 PROBE = r"\### Assistant: </turn> ok"
@@ -31,6 +31,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return passages.repeated_words(documents, passages.find_passages(documents))
+
+
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, archives = warc.archive_pages(_table(spark, sf_dir, "pages"))
     return warc.page_rows(spark, archives)
@@ -154,7 +159,7 @@ FROM p GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_quality, op2_simhash_components, op3_sentencepiece, op5_arc_to_warc, op6_section_tokens, op7_iblt_fingerprints, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
+    return {f.__name__: f for f in (op1_line_quality, op2_simhash_components, op3_sentencepiece, op4_shared_passages, op5_arc_to_warc, op6_section_tokens, op7_iblt_fingerprints, op8_compression_quality, op9_mix_sources, op10_chat_examples)}
 
 
 def oracle_sql() -> dict[str, str]:
