@@ -1,17 +1,73 @@
-"""Documents to training rows, in five stages."""
+"""Documents to training rows, in five stages.
+
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before left, and returns
+a table; all but the last return the columns of docs. Between stages :func:`run` writes the
+table to the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flowloom.llm import mixing, passages, quality, scratch, simhash, spm
+
+#: Most ids that are broadcast to filter documents; beyond, documents are shuffled by id.
+BROADCAST_IDS = 1_000_000
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line rules keep. The line model is trained on the labelled ones among docs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.train(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id; one row for each id."""
+    found = scratch.keep(simhash.near_duplicates(docs), "components")
+    later = scratch.keep(found.where("component_id != doc_id").select("doc_id").distinct(), "later")
+    rest = docs.join(scratch.small(later, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    twice = found.groupBy("doc_id").count().where("count > 1")
+    return rest if twice.isEmpty() else rest.dropDuplicates(["doc_id"])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; n_chars follows."""
+    rest = passages.remove_passages(docs, scratch.keep(passages.find_passages(docs), "passages"))
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else rest
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document."""
+    taken = mixing.mix(docs).where("taken > 0")
+    own = "_copies"
+    while own in docs.columns:
+        own += "_"
+    copies = scratch.keep(taken.select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias(own)), "copies")
+    rows = docs.join(scratch.small(copies, BROADCAST_IDS), "doc_id")
+    return rows.withColumn(own, F.explode(F.sequence(F.lit(1), own))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and n_tokens of every row."""
+    return spm.encode(docs, spm.read_model())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", encode),
+]
 
-#: Some stages train models or encode text, which SQL cannot express; tests use brute force.
+#: Models, hashes and encodings are beyond SQL; the tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        docs = scratch.keep(done, "stage") if i + 1 < len(STAGES) else done
     return docs

@@ -352,13 +352,15 @@ def remove_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
 
     A passage goes from its first word up to the word after it.
     """
-    spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin_word", "end_word"))).alias("_spans"))
+    own = "_spans"
+    while own in documents.columns:
+        own += "_"
+    spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin_word", "end_word"))).alias(own))
     spans = scratch.keep(spans, "spans")
     touched = documents.join(scratch.small(spans, BROADCAST_IDS), "doc_id", "left")
     schema = documents.schema
     names = schema.fieldNames()
     at = names.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -385,4 +387,4 @@ def remove_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else rows.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return touched.select(*names, "_spans").mapInArrow(run, ddl)
+    return touched.select(*names, own).mapInArrow(run, schema)

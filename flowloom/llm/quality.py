@@ -275,3 +275,15 @@ def assess(documents: DataFrame, model: LineField, keep_columns: tuple[str, ...]
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep_columns).schema.fields)
     return source.mapInArrow(run, f"{kept}, {RESULT}")
+
+
+def keep_good(documents: DataFrame, model: LineField) -> DataFrame:
+    """The documents (column text; others as they are) whose verdict is kept."""
+    shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.steps))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LineField(*shared.value)
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(judge(texts_of(part, "text"), own)["kept"]))
+
+    return documents.mapInArrow(run, documents.schema)
