@@ -1,0 +1,4 @@
+"""The engine is batch only: a scan reads one set of facts and gives one set of documents.
+
+Nothing streams, so there is nothing here; the package marks the place on purpose.
+"""
