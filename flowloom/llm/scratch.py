@@ -1,58 +1,5 @@
-"""Tables that several stages read again, kept where every executor sees them.
+"""The tables in the shared folder that operators of this package read again."""
 
-The folder is the one the session names in ``spark.checkpoint.dir``. Only when that is
-unset (a local session, as in tests) a temporary folder is made and set. Files are written
-and read by Spark alone, so losing an executor loses nothing.
-"""
+from flowloom.tables import SETTING, forget, keep, new_path, shared_dir, small
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: The setting that names the shared folder.
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    there = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
-    if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='flowloom-')}"
-        spark.conf.set(SETTING, there)
-        spark.sparkContext.setCheckpointDir(there)
-    return there.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and return the table read from there."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._scratch_path = path
-    return kept
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what :func:`keep` wrote for ``df``, once nothing reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else ``df`` as it is.
-
-    ``df`` should be cheap to count, such as a table from :func:`keep`, and have short rows.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["SETTING", "forget", "keep", "new_path", "shared_dir", "small"]
