@@ -54,7 +54,7 @@ def compact_query(sql: Column) -> Column:
 
 def _bytes_of(text: Column, n: int) -> Column:
     """The longest beginning of whole characters within n bytes."""
-    cut = F.decode(F.substring(F.encode(text, "utf-8"), 1, n), "utf-8")
+    cut = F.make_valid_utf8(F.substring(text.cast("binary"), 1, n).cast("string"))
     return F.substr(text, F.lit(1), F.length(F.regexp_replace(cut, "�+$", "")))
 
 
