@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -129,12 +130,14 @@ class Lattice:
         self._history: dict[int, tuple | None] = {}
         self._may_follow: dict[int, bool] = {}
         self._lowest = min((vocabulary.scores[i] for i in vocabulary.ids.values()), default=0.0) - UNKNOWN_PENALTY
-        #: Each beginning of a piece, with the id if it is one.
-        self.trie: dict[str, int] = {}
+        #: Each end of a piece, with the id if it is one.
+        self.ends: dict[str, int] = {}
         for piece, i in vocabulary.ids.items():
             for n in range(1, len(piece)):
-                self.trie.setdefault(piece[:n], -1)
-            self.trie[piece] = i
+                self.ends.setdefault(piece[n:], -1)
+            self.ends[piece] = i
+        #: States of the text that was last given to whole().
+        self._text, self._last, self._back, self._score = "", [-2], [0], [0.0]
 
     def step(self, text: str, end: int, states: list, base: int) -> tuple:
         """The state at ``end``. ``text`` and ``states`` begin at position ``base``."""
@@ -154,38 +157,48 @@ class Lattice:
         return best or (end - 1, -1, 0.0)
 
     def whole(self, text: str) -> list[tuple[int, int]]:
-        """(begin, id) of the best path of a short text; as :meth:`step`, from each beginning on."""
-        n, trie, scores, bpe = len(text), self.trie, self.vocabulary.scores, self.vocabulary.kind == BPE
-        last, back, score = [None] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
-        last[0] = -2
-        known, size = self._may_follow, len(scores)
-        for begin in range(n):
-            before = last[begin]
-            if before is None:
-                before, back[begin] = -1, begin - 1
-                last[begin] = -1
-            for end in range(begin + 1, n + 1):
-                i = trie.get(text[begin:end])
+        """(begin, id) along the best path of a short text.
+
+        States depend on what is before them alone, so those of the beginning that the text shares with
+        the one before it are used again: texts that come sorted share most of theirs.
+        """
+        same = 0
+        for a, b in zip(text, self._text):
+            if a != b:
+                break
+            same += 1
+        last, back, score = self._last, self._back, self._score
+        del last[same + 1 :], back[same + 1 :], score[same + 1 :]
+        self._text = text
+        ends, known, size, bpe, scores = self.ends, self._may_follow, len(self.vocabulary.scores), self.vocabulary.kind == BPE, self.vocabulary.scores
+        for end in range(same + 1, len(text) + 1):
+            best, at, high = -1, end - 1, 0.0 if bpe else score[end - 1] + self._lowest
+            found = False
+            for begin in range(end - 1, max(-1, end - 1 - self.window), -1):
+                i = ends.get(text[begin:end])
                 if i is None:
                     break
                 if i < 0:
                     continue
+                before = last[begin]
                 if bpe:
-                    if last[end] is None:
-                        follows = known.get(before * size + i) if before >= 0 else None
-                        if self.may_follow(before, i) if follows is None else follows:
-                            last[end], back[end] = i, begin
-                elif last[end] is None or score[begin] + scores[i] > score[end]:
-                    last[end], back[end], score[end] = i, begin, score[begin] + scores[i]
-            if not bpe and text[begin] not in self.vocabulary.ids and (last[begin + 1] is None or score[begin] + self._lowest > score[begin + 1]):
-                last[begin + 1], back[begin + 1], score[begin + 1] = -1, begin, score[begin] + self._lowest
-        if n and last[n] is None:
-            last[n], back[n] = -1, n - 1
-        path, at = [], n
+                    follows = known.get(before * size + i) if before >= 0 else None
+                    if follows is None:
+                        follows = self.may_follow(before, i)
+                    if follows:
+                        best, at = i, begin
+                        break
+                elif (new := score[begin] + scores[i]) >= high or not found and begin == end - 1:
+                    best, at, high, found = i, begin, new, True
+            last.append(best)
+            back.append(at)
+            score.append(high)
+        path, at = [], len(text)
         while at:
             path.append((back[at], last[at]))
             at = back[at]
-        return path[::-1]
+        path.reverse()
+        return path
 
     def history(self, i: int) -> tuple | None:
         """The ranks at which merging builds a piece, and its outer symbols before each: None if it builds something else."""
@@ -286,32 +299,15 @@ class Stream:
         return ids
 
 
-class _Remembered(dict):
-    """Ids of cuts as bytes, at most twice REMEMBERED: the older half is dropped when the newer is full."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, cut: str) -> bytes:
-        found = self.older.get(cut)
-        if found is None:
-            found = np.array(self.encode(cut), np.int32).tobytes()
-        if len(cut) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[cut] = found
-        return found
-
-
 class Tokenizer:
     """Encodes and decodes whole texts."""
 
     def __init__(self, model: bytes) -> None:
         self.vocabulary = Vocabulary(model)
         self.lattice = Lattice(self.vocabulary)
-        self._known = _Remembered(self.cut)
+        #: Ids of cuts as bytes, at most twice REMEMBERED and what a call needs: the older half goes when the newer is full.
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         line = "" if "\n" in self.vocabulary.alphabet else "\n"
         self._cuts = None if self.vocabulary.inner_marks else re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else ""))
 
@@ -336,10 +332,24 @@ class Tokenizer:
         return (MARK if self.vocabulary.dummy_prefix and text else "") + text.replace(" ", MARK)
 
     def encode(self, text: str) -> np.ndarray:
-        text = self.normalise(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. New cuts of all texts are encoded in sorted order."""
+        whole = [self.normalise(t) for t in texts]
         if self._cuts is None:
-            return np.array(self.stream(text), np.int32)
-        return self._one_unknown(np.frombuffer(b"".join(map(self._known.__getitem__, self._cuts.findall(text))), np.int32))
+            return [np.array(self.stream(t), np.int32) for t in whole]
+        if len(self._known) > REMEMBERED:
+            self._known, self._older = {}, self._known
+        cuts = list(map(self._cuts.findall, whole))
+        known, older = self._known, self._older
+        once = {}
+        for cut in sorted(set().union(*cuts).difference(known)):
+            found = older.get(cut) or array("i", self.cut(cut)).tobytes()
+            (known if len(cut) <= REMEMBERED_LENGTH else once)[cut] = found
+        if once:
+            known = known | once
+        return [self._one_unknown(np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32)) for c in cuts]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.vocabulary.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -366,7 +376,7 @@ def encode(documents: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(shared.value)
         for part in slices(batches, "text"):
-            ids = [tokenizer.encode(t.decode("utf-8")) for t in texts_of(part, "text")]
+            ids = tokenizer.encode_all([t.decode("utf-8") for t in texts_of(part, "text")])
             sizes = np.array([len(x) for x in ids], np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes)], ["doc_id", "ids", "n_tokens"])
