@@ -32,7 +32,8 @@ from flowloom.llm.components import components
 from flowloom.llm.words import slices, texts_of
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
-#: Most fingerprints of a bucket that are compared pair by pair.
+#: Most fingerprints of a bucket that are compared pair by pair. At 256 or more, a larger bucket leaves nine
+#: bits open at least, and each mask of their covering closes two or more of them, so the rounds end.
 BUCKET = 1024
 _NO_ID = (1 << 63) - 1
 _LANES = np.uint64(0x0101010101010101)
