@@ -394,7 +394,10 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 part = whole.slice(first, 500)
-                texts = [tokenizer.decode(x or []) for x in part.column(1).to_pylist()]
+                lists = part.column(1)
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+                texts = [tokenizer.decode(ids[a:b]) for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "text"])
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens int, text string")
