@@ -84,7 +84,7 @@ def fit_to_budget(nodes: DataFrame, most: int = NARRATIVE_NODES) -> DataFrame:
     alive = nodes.where("dropped_by is null and depth > 0").select("flow_id", "depth")
     rows = nodes.join(budget_depth(alive, ["flow_id"], most), "flow_id", "left")
     beyond = F.coalesce(F.col("dropped_by").isNull() & (F.col("depth") > F.col("fit_depth")), F.lit(False))
-    return rows.withColumn("dropped_by", F.when(beyond, BEYOND).otherwise(F.col("dropped_by"))).withColumn("collapse", F.col("collapse") | beyond).drop("fit_depth")
+    return rows.withColumns({"dropped_by": F.when(beyond, BEYOND).otherwise(F.col("dropped_by")), "collapse": F.col("collapse") | beyond}).drop("fit_depth")
 
 
 def mark(nodes: DataFrame, edges: DataFrame, rules: list[Rule], module: str) -> DataFrame:
