@@ -243,3 +243,41 @@ def example_handlers(functions: DataFrame) -> DataFrame:
     """is_method and the least name of each kind, from packages that look like handlers' if there are any."""
     handlerish = ~F.col("pkg").rlike(HANDLER_PACKAGES)
     return functions.groupBy("is_method").agg(F.min_by("display_name", F.struct(handlerish, "display_name")).alias("example"))
+
+
+def forward_methods(starts: DataFrame, uses: DataFrame, hops: int = FORWARD_HOPS) -> DataFrame:
+    """site and methods set on a route after its handler: the nearest within ``hops`` links.
+
+    starts: site, at (a route value); uses: at, next (the call's value), kind (methods or link), text. A methods call whose
+    texts are not constant is passed over.
+    """
+    front, found = tables.keep(starts.select("site", "at"), "forward"), None
+    for hop in range(hops):
+        step = tables.keep(front.join(uses, "at"), "forward")
+        hit = step.where("kind = 'methods' and text is not null").groupBy("site").agg(F.min("text").alias("methods")).withColumn("hop", F.lit(hop))
+        found = hit if found is None else found.unionByName(hit)
+        front = step.where("kind = 'link'").select("site", F.col("next").alias("at"))
+        if front.isEmpty():
+            break
+    return found.groupBy("site").agg(F.min_by("methods", "hop").alias("methods"))
+
+
+def closure_bindings(bindings: DataFrame) -> DataFrame:
+    """free_var and bound, for free variables that one closure binds (bindings: free_var, bound)."""
+    return bindings.groupBy("free_var").agg(F.count("*").alias("n"), F.first("bound").alias("bound")).where("n = 1").drop("n")
+
+
+def resolved_sites(sites: DataFrame, constants: DataFrame, pack_texts: DataFrame, functions: DataFrame, pack_functions: DataFrame, types: DataFrame) -> DataFrame:
+    """Call sites whose args (value ids, arg_offset of them the receiver) become what discovery reads.
+
+    constants: value_id, text; pack_texts: pack_id, texts; functions: value_id, fn_id; pack_functions: pack_id, fns; types: value_id,
+    type_pkg, type_name. Each is joined once by value, for all arguments together.
+    """
+    own = F.slice("args", F.col("arg_offset") + 1, F.greatest(F.lit(0), F.size("args") - F.col("arg_offset")))
+    each = sites.select("site_id", F.posexplode(own).alias("n", "value_id"))
+    for table, key in ((constants, "value_id"), (pack_texts, "pack_id"), (functions, "value_id"), (pack_functions, "pack_id"), (types, "value_id")):
+        each = each.join(table.withColumnRenamed(key, "value_id"), "value_id", "left")
+    one = F.struct("n", F.struct("text", "texts", F.col("fn_id").alias("fn"), "fns", "type_pkg", "type_name").cast(ARG).alias("a"))
+    args = each.groupBy("site_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["a"]).alias("resolved"))
+    rows = sites.join(args, "site_id", "left").withColumn("args", F.coalesce("resolved", F.array().cast(f"array<{ARG}>"))).drop("resolved")
+    return rows.withColumnRenamed("site_id", "site").withColumnRenamed("fn_id", "encl_fn")

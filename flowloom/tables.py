@@ -2,11 +2,14 @@
 
 The folder is the one the session names in ``spark.checkpoint.dir``. Only when that is
 unset (a local session, as in tests) a temporary folder is made and set. Files are written
-and read by Spark alone, so losing an executor loses nothing.
+and read by Spark alone, so losing an executor loses nothing. What a process has kept is deleted
+when it ends, or earlier by :func:`forget`.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The setting that names the shared folder.
 SETTING = "spark.checkpoint.dir"
+#: Paths of this process, each with its file system and its path there.
+_OWN: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _OWN[path] = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+    return path
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
@@ -43,11 +51,16 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete what :func:`keep` wrote for ``df``, once nothing reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _OWN.pop(getattr(df, "_scratch_path", ""), (None, None))
+    if system is not None:
+        system.delete(target, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for system, target in _OWN.values():
+        with contextlib.suppress(Exception):  # the session may be gone, and its files with it
+            system.delete(target, True)
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:

@@ -179,3 +179,22 @@ def test_a_scan_from_facts_to_documents(spark):
     assert [n["func"] for n in one["nodes"]] == ["order.Create", "order.Save"] and one["nodes"][1]["effects"] == [{"type": "sql", "detail": "INSERT INTO orders VALUES (1)", "pos": "o.go:7"}]
     assert one["stats"] == {"raw_nodes": 4, "kept_nodes": 2, "dropped_by_rule": {"default:logging-packages": 1, "default:trivial-wrapper": 1}}
     assert index.first().entities[0].key == "order"
+
+
+def test_arguments_become_what_discovery_reads(spark):
+    sites = spark.createDataFrame([("s1", "main", 1, ["recv", "c1", "f1"]), ("s2", "main", 0, ["c1", "pk"]), ("s3", "main", 1, ["recv"])], "site_id string, fn_id string, arg_offset int, args array<string>")
+    constants = spark.createDataFrame([("c1", "/x")], "value_id string, text string")
+    texts = spark.createDataFrame([("pk", ["a", "b"])], "pack_id string, texts array<string>")
+    fns = spark.createDataFrame([("f1", "hx")], "value_id string, fn_id string")
+    packs = spark.createDataFrame([("pk", ["hx", "hy"])], "pack_id string, fns array<string>")
+    types = spark.createDataFrame([("f1", "m/h", "H")], "value_id string, type_pkg string, type_name string")
+    got = {r.site: [tuple(a) for a in r.args] for r in entrypoints.resolved_sites(sites, constants, texts, fns, packs, types).collect()}
+    assert got == {"s1": [("/x", None, None, None, None, None), (None, None, "hx", None, "m/h", "H")], "s2": [("/x", None, None, None, None, None), (None, ["a", "b"], None, ["hx", "hy"], None, None)], "s3": []}
+
+
+def test_forward_methods_and_bindings(spark):
+    starts = spark.createDataFrame([("s", "r0"), ("t", "q0"), ("u", "z0")], "site string, at string")
+    uses = spark.createDataFrame([("r0", "r1", "link", None), ("r1", "r2", "methods", "GET"), ("q0", "q1", "methods", None), ("q0", "q2", "methods", "PUT"), ("r1", "r3", "link", None)], "at string, next string, kind string, text string")
+    assert {r.site: r.methods for r in entrypoints.forward_methods(starts, uses).collect()} == {"s": "GET", "t": "PUT"}
+    bindings = spark.createDataFrame([("v", "a"), ("w", "b"), ("w", "c")], "free_var string, bound string")
+    assert [tuple(r) for r in entrypoints.closure_bindings(bindings).collect()] == [("v", "a")]
