@@ -1,14 +1,13 @@
 """Graphs as edge tables: reachability, breadth-first search, call resolution, edge upserts.
 
-Loops advance all seeds (all flows) in the same round. Each round writes its new rows to the
-shared folder, so no plan grows with the rounds, and the driver only learns whether there were
-any. Visited rows are the union of the rounds; a round is a join and an anti join on keys.
+Loops advance all seeds (all flows) in the same round. Edges are written once, and each round
+writes its new rows to the shared folder, so no plan grows with the rounds, and the driver only
+learns whether there were any. Visited rows are one scan of the rounds; a round is a join and an
+anti join on keys. Reachability needs no depths, so on deep graphs it takes several steps a round.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import tables
@@ -17,10 +16,8 @@ from flowloom import tables
 MAX_DEPTH, MAX_NODES, MAX_FALLBACK = 40, 5000, 5
 #: Functions in the cone above which the coarse call graph is used.
 MAX_CONE = 20_000
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+#: Rounds of one step after which a graph counts as deep, and the steps of a round from then on.
+SHALLOW, DEEP_STEPS = 8, 6
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -29,25 +26,33 @@ def bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_d
     edges: keys, src, dst; seeds: keys, node. ``keys`` (such as flow_id) keep graphs apart.
     """
     keys = keys or []
-    edges = edges.select(*keys, "src", "dst")
-    frontier = tables.keep(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)), "bfs")
-    rounds = [frontier]
+    spark = edges.sparkSession
+    edges = tables.keep(edges.select(*keys, "src", "dst").distinct(), "edges")
+    rounds = tables.Rounds(spark, "bfs")
+    frontier = rounds.add(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         step = frontier.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        new = step.join(_union(rounds), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = tables.keep(new, "bfs")
+        frontier = rounds.add(step.join(rounds.all(spark), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
-    return _union(rounds)
+    return rounds.all(spark)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, reverse: bool = False, max_rounds: int = 100_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, reverse: bool = False) -> DataFrame:
     """keys and node of all that the seeds reach, themselves included; with ``reverse`` all that reach them."""
     keys = keys or []
-    if reverse:
-        edges = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return bfs(edges, seeds, keys, max_rounds).select(*keys, "node")
+    spark = edges.sparkSession
+    ends = ("dst", "src") if reverse else ("src", "dst")
+    edges = tables.keep(edges.select(*keys, F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).distinct(), "edges")
+    rounds = tables.Rounds(spark, "reach")
+    frontier = rounds.add(seeds.select(*keys, "node").distinct())
+    while not frontier.isEmpty():
+        level = frontier
+        for _ in range(1 if rounds.n <= SHALLOW else DEEP_STEPS):
+            ahead = F.explode(F.array("node", F.coalesce("next", "node"))).alias("node")
+            level = level.join(edges, [*keys, "node"], "left").select(*keys, ahead).distinct()
+        frontier = rounds.add(level.join(rounds.all(spark), [*keys, "node"], "left_anti"))
+    return rounds.all(spark)
 
 
 def strictly_above(edges: DataFrame, marked: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -57,28 +62,29 @@ def strictly_above(edges: DataFrame, marked: DataFrame, keys: list[str] | None =
     return edges.join(there, [*keys, "dst"], "left_semi").select(*keys, F.col("src").alias("node")).distinct()
 
 
-def ordered_bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ordered_bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_depth: int = MAX_DEPTH, shared: bool = False) -> DataFrame:
     """keys, node, depth, bfs_ord in the order of a queue: by parent, then ``ord`` of the edge.
 
-    edges: keys, src, dst, ord; seeds: one node for each key. The seed has order 0.
+    edges: keys, src, dst, ord; seeds: one node for each key. The seed has order 0. With ``shared``
+    all keys search one graph, whose edges have no keys.
     """
     keys = keys or []
-    frontier = tables.keep(seeds.select(*keys, "node").withColumns({"depth": F.lit(0), "bfs_ord": F.lit(0).cast("long")}), "bfs")
-    rounds = [frontier]
+    edge_keys = [] if shared else keys
+    spark = edges.sparkSession
+    edges = tables.keep(edges.select(*edge_keys, "src", "dst", "ord"), "edges")
+    rounds = tables.Rounds(spark, "bfs")
+    frontier = rounds.add(seeds.select(*keys, "node").withColumns({"depth": F.lit(0), "bfs_ord": F.lit(0).cast("long")}))
     for depth in range(1, max_depth + 1):
         before = frontier.select(*keys, F.col("node").alias("src"), F.col("bfs_ord").alias("parent_ord"))
-        step = before.join(edges, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min(F.struct("parent_ord", "ord")).alias("way"))
-        seen = _union(rounds)
-        new = step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
+        step = before.join(edges, [*edge_keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min(F.struct("parent_ord", "ord")).alias("way"))
+        new = step.join(rounds.all(spark).select(*keys, "node"), [*keys, "node"], "left_anti")
         so_far = frontier.groupBy(*keys).agg(F.max("bfs_ord").alias("so_far"))
         new = new.join(so_far, keys) if keys else new.withColumn("so_far", F.lit(so_far.first()[0]))
         place = F.row_number().over(Window.partitionBy(*keys or [F.lit(1)]).orderBy("way", "node"))
-        new = new.select(*keys, "node", F.lit(depth).alias("depth"), (F.col("so_far") + place).alias("bfs_ord"))
-        frontier = tables.keep(new, "bfs")
+        frontier = rounds.add(new.select(*keys, "node", F.lit(depth).alias("depth"), (F.col("so_far") + place).alias("bfs_ord")))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
-    return _union(rounds)
+    return rounds.all(spark)
 
 
 def upsert_edges(hops: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -170,15 +176,16 @@ def class_hierarchy(sites: DataFrame, methods: DataFrame, interfaces: DataFrame)
 
 def type_flow(flows: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """value and type: all types that reach each value along flows (src, dst) from seeds (value, type)."""
-    frontier = tables.keep(seeds.select("type", F.col("value").alias("node")).distinct(), "types")
-    rounds = [frontier]
+    spark = flows.sparkSession
+    flows = tables.keep(flows.select("src", "dst").distinct(), "flows")
+    rounds = tables.Rounds(spark, "types")
+    frontier = rounds.add(seeds.select("type", F.col("value").alias("node")).distinct())
     for _ in range(max_rounds):
-        step = frontier.select("type", F.col("node").alias("src")).join(flows.select("src", "dst"), "src").select("type", F.col("dst").alias("node")).distinct()
-        frontier = tables.keep(step.join(_union(rounds), ["type", "node"], "left_anti"), "types")
+        step = frontier.select("type", F.col("node").alias("src")).join(flows, "src").select("type", F.col("dst").alias("node")).distinct()
+        frontier = rounds.add(step.join(rounds.all(spark), ["type", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
-    return _union(rounds).select(F.col("node").alias("value"), "type")
+    return rounds.all(spark).select(F.col("node").alias("value"), "type")
 
 
 def refine_calls(coarse: DataFrame, receivers: DataFrame, types: DataFrame, methods: DataFrame) -> DataFrame:
@@ -234,7 +241,7 @@ def extract(sites: DataFrame, callees: DataFrame, functions: DataFrame, roots: D
     terminals = lost.select("caller", F.col("dynamic_name").alias("dst"), "ord", F.lit(0).alias("callee_ord"), "seq", "async", F.col("block").alias("site"), F.lit("dynamic").alias("resolution"), F.lit("terminal").alias("kind"))
     hops = tables.keep(steps.unionByName(terminals).withColumn("ord", F.struct("ord", "callee_ord")).drop("callee_ord"), "hops")
     ordered = hops.groupBy(F.col("caller").alias("src"), "dst").agg(F.min("ord").alias("ord"))
-    found = _flow_search(ordered, roots.select("flow_id", F.col("fn_id").alias("node")), max_depth)
+    found = ordered_bfs(ordered, roots.select("flow_id", F.col("fn_id").alias("node")), ["flow_id"], max_depth, shared=True)
     kinds = hops.groupBy(F.col("dst").alias("node")).agg(F.max("kind").alias("kind"))
     cut = ((F.col("depth") >= max_depth) | (F.col("bfs_ord") >= max_nodes)) & (F.col("depth") > 0)
     expanded = tables.keep(found.withColumn("cut", cut), "flow-nodes")
@@ -247,20 +254,3 @@ def extract(sites: DataFrame, callees: DataFrame, functions: DataFrame, roots: D
     nodes = nodes.select("flow_id", "node", kind.alias("kind"), resolution.alias("resolution"), "depth", "bfs_ord")
     edges = edges.select("flow_id", F.col("caller").alias("src"), "dst", "seq", "async", "site", F.col("ord").alias("site_ord"))
     return nodes, upsert_edges(edges, ["flow_id"])
-
-
-def _flow_search(ordered: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """As ordered_bfs, for flows that share one graph: its edges have no flow_id."""
-    frontier = tables.keep(seeds.withColumns({"depth": F.lit(0), "bfs_ord": F.lit(0).cast("long")}), "flow")
-    rounds = [frontier]
-    for depth in range(1, max_depth + 1):
-        before = frontier.select("flow_id", F.col("node").alias("src"), F.col("bfs_ord").alias("parent_ord"))
-        step = before.join(ordered, "src").groupBy("flow_id", F.col("dst").alias("node")).agg(F.min(F.struct("parent_ord", "ord")).alias("way"))
-        new = step.join(_union(rounds).select("flow_id", "node"), ["flow_id", "node"], "left_anti")
-        new = new.join(frontier.groupBy("flow_id").agg(F.max("bfs_ord").alias("so_far")), "flow_id")
-        place = F.row_number().over(Window.partitionBy("flow_id").orderBy("way", "node"))
-        frontier = tables.keep(new.select("flow_id", "node", F.lit(depth).alias("depth"), (F.col("so_far") + place).alias("bfs_ord")), "flow")
-        if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-    return _union(rounds)

@@ -49,6 +49,24 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
+class Rounds:
+    """A table that grows by rounds: a folder each, all read as one scan however many there are."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.path, self.n, self.schema = new_path(spark, label), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the rows of a round and return the table of them alone."""
+        path = f"{self.path}/{self.n:06d}"
+        df.write.parquet(path)
+        self.n, self.schema = self.n + 1, self.schema or df.schema
+        return df.sparkSession.read.schema(self.schema).parquet(path)
+
+    def all(self, spark: SparkSession) -> DataFrame:
+        """The rows of all rounds so far."""
+        return spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what :func:`keep` wrote for ``df``, once nothing reads it any more."""
     system, target = _OWN.pop(getattr(df, "_scratch_path", ""), (None, None))
