@@ -10,6 +10,12 @@ between matches by edit distance, the ends by extension along the diagonal), and
 the alignment in which matches outweigh mismatches at ``SIMILARITY`` are passages if they hold at
 least ``LEAST_WORDS`` words.
 
+A first occurrence may stand in a document that has only part of a run, so what chains leave open is
+looked up exactly: of each run of LEAST_WORDS words the smallest hash of ANCHOR words is its anchor. Where an
+anchor occurs in an earlier document too and passages do not cover its runs, the hashes of whole
+runs, there and at all places of that anchor, are joined to their first occurrence. So every
+word of a run of LEAST_WORDS words that an earlier document has lies in a passage.
+
 Chains are compared by 32-bit hashes of words. Texts are only sent to documents that take part
 in a chain, and of those only the words around the chain meet.
 
@@ -25,13 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.llm import scratch
 from flowloom.llm.words import Words, slices, texts_of
 
 K, WINDOW = 5, 12
 LEAST_WORDS, SIMILARITY = 50, 0.8
+#: Words of an anchor; fewer give fewer rows, but more that are shared by chance.
+ANCHOR = 12
 #: Cost of each word skipped in either text by a link of a chain.
 GAP = 0.04
 #: Words around a chain in which its ends may be extended.
@@ -55,8 +63,27 @@ def winnow(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray,
     return first[at], key[at]
 
 
+def anchors(words: Words, k: int = ANCHOR, run: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchors of all texts, and the first words of the first and the last run that each stands for."""
+    first, key = words.windows(k)
+    window = run - k + 1
+    if len(key) < window:
+        return key[:0], first[:0], first[:0]
+    text = words.text[first]
+    inside = np.flatnonzero(text[: len(text) - window + 1] == text[window - 1 :])
+    views = np.lib.stride_tricks.sliding_window_view(key, window)
+    # argmin copies the views, so a few at a time
+    at = np.concatenate([views[i : i + 10_000].argmin(axis=1) for i in range(0, len(views), 10_000)])[inside] + inside
+    at, begin, n = np.unique(at, return_index=True, return_counts=True)
+    return key[at], first[inside[begin]], first[inside[begin + n - 1]]
+
+
 def seeds(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """h, doc_id and pos (its first word) of all seeds of documents with at least ``least_words`` words."""
+    """h, doc_id, pos and last of all seeds and anchors of documents with at least ``least_words`` words.
+
+    pos is the first word of a seed; of an anchor, pos and last are the first words of its first and last run.
+    For seeds last is null.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,11 +94,14 @@ def seeds(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             long = words.counts[text] >= least_words
             first, key, text = first[long], key[long], text[long]
             before = np.concatenate([[0], np.cumsum(words.counts)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), part.column(0).take(pa.array(text)), pa.array((first - before[text]).astype(np.int32))], ["h", "doc_id", "pos"]
-            )
+            names, doc = ["h", "doc_id", "pos", "last"], part.column(0)
+            place = lambda w, t: pa.array((w - before[t]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), doc.take(pa.array(text)), place(first, text), pa.nulls(len(key), pa.int32())], names)
+            key, first, last = anchors(words, run=least_words)
+            text = words.text[first]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), doc.take(pa.array(text)), place(first, text), place(last, text)], names)
 
-    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"h long, doc_id {kind}, pos int")
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"h long, doc_id {kind}, pos int, last int")
 
 
 def matches(found: DataFrame) -> DataFrame:
@@ -302,13 +332,75 @@ def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _PASSAGE = ["doc_id", "begin_word", "end_word", "source_id", "source_begin", "source_end", "similarity"]
 
 
+def shared_anchors(found: DataFrame) -> DataFrame:
+    """The anchors that several documents have, each with the first of these (first_id)."""
+    by = found.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return found.join(by.where("first_id != last_id").drop("last_id"), "h")
+
+
+def exact_passages(documents: DataFrame, shared: DataFrame, passages: DataFrame) -> DataFrame:
+    """Runs of LEAST_WORDS words or more that an earlier document has and passages do not cover."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin_word", "end_word"))).alias("spans"))
+    spans = scratch.keep(spans, "covered")
+    # the word up to which passages cover all words from pos on
+    reach = F.aggregate("spans", F.col("pos"), lambda end, p: F.when(p["begin_word"] <= end, F.greatest(end, p["end_word"])).otherwise(end))
+    reach = F.coalesce(reach, F.col("pos"))
+    open_ = (F.col("doc_id") != F.col("first_id")) & (reach < F.col("last") + LEAST_WORDS)
+    shared = scratch.keep(shared.join(spans, "doc_id", "left").select("h", "doc_id", "pos", "last", open_.alias("open")), "anchors-open")
+    wanted = scratch.keep(shared.where("open").select("h").distinct(), "anchors-wanted")
+    places = shared.join(scratch.small(wanted, BROADCAST_IDS), "h", "left_semi")
+    places = scratch.keep(places.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last", "open")).alias("places")), "places")
+    # ids are broadcast, the long rows of places are not
+    texts = documents.select("doc_id", "text").join(scratch.small(places.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi").join(places.hint("shuffle_merge"), "doc_id")
+    runs = scratch.keep(texts.mapInArrow(_run_hashes, f"h long, doc_id {kind}, pos int, open boolean"), "runs")
+    first = runs.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    met = runs.where("open").join(spans, "doc_id", "left").where(reach < F.col("pos") + LEAST_WORDS)
+    met = met.select("h", "doc_id", "pos").distinct().join(first, "h").where("doc_id != first.doc_id")
+    met = met.select("doc_id", F.col("first.doc_id").alias("source_id"), "pos", (F.col("first.pos") - F.col("pos")).alias("shift"))
+    one = ["doc_id", "source_id", "shift"]
+    order = Window.partitionBy(*one).orderBy("pos")
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(order) > LEAST_WORDS, F.lit(True)).cast("int")
+    met = met.withColumn("apart", apart).withColumn("n", F.sum("apart").over(order))
+    ends = met.groupBy(*one, "n").agg(F.min("pos").alias("begin_word"), (F.max("pos") + LEAST_WORDS).alias("end_word"))
+    return ends.select(
+        "doc_id", "begin_word", "end_word", "source_id", (F.col("begin_word") + F.col("shift")).alias("source_begin"), (F.col("end_word") + F.col("shift")).alias("source_end"), F.lit(1.0).alias("similarity")
+    )
+
+
+def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the runs at places of documents (doc_id, text, places)."""
+    for part in slices(batches, "text"):
+        words = Words([t.lower() for t in texts_of(part, "text")])
+        begin, key = words.windows(LEAST_WORDS)
+        before = np.concatenate([[0], np.cumsum(words.counts)])
+        places = part.column(2)
+        row = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+        pos, last, open_ = (c.to_numpy(zero_copy_only=False) for c in places.flatten().flatten())
+        # all inside their text, but for ids that are not unique
+        n = np.maximum(0, np.minimum(last, words.counts[row] - LEAST_WORDS) - pos + 1)
+        row, pos, open_ = np.repeat(row, n), np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(open_, n)
+        at = np.searchsorted(begin, before[row] + pos)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[at].view(np.int64)), part.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(open_.astype(bool))], ["h", "doc_id", "pos", "open"]
+        )
+
+
 def find_passages(documents: DataFrame) -> DataFrame:
     """Passages (words begin_word to end_word - 1 of doc_id) that an earlier document, source_id, has too."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     found = scratch.keep(seeds(documents), "seeds")
-    rows = matches(found).repartition("t").sortWithinPartitions("t", "s", "tpos", "spos")
+    rows = matches(found.where("last is null")).repartition("t").sortWithinPartitions("t", "s", "tpos", "spos")
     chained = scratch.keep(rows.mapInArrow(_chain_rows, f"t {kind}, s {kind}, anchors binary"), "chains")
+    shared = scratch.keep(shared_anchors(found.where("last is not null")), "anchors")
     scratch.forget(found)
+    fuzzy = scratch.keep(_aligned(documents, chained), "chained-passages")
+    return fuzzy.unionByName(exact_passages(documents, shared, fuzzy))
+
+
+def _aligned(documents: DataFrame, chained: DataFrame) -> DataFrame:
+    """Passages on the alignments of chains."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
     ids = scratch.keep(chained.select(F.col("t").alias("doc_id")).union(chained.select("s")).distinct(), "chained-ids")
     taking_part = documents.select("doc_id", "text").join(scratch.small(ids, BROADCAST_IDS), "doc_id", "left_semi")
     words = scratch.keep(taking_part.mapInArrow(_word_rows, f"doc_id {kind}, words binary"), "words")

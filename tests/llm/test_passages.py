@@ -121,6 +121,30 @@ def test_copies_keep_the_first(spark):
     assert [r.doc_id for r in P.remove_passages(docs, found).collect()] == [1]
 
 
+def test_runs_are_found_though_earlier_documents_hold_parts_of_them(spark):
+    rng = random.Random(12)
+    texts = {}
+    for group in range(25):
+        run, n = some(rng, rng.randint(50, 70)), 0
+        halves, inner = (run[:30], run[30:]), (run[:20], run[20:40], run[40:])
+        shown = [[*halves, run, run], [*halves, run, *halves, run], [*inner, run, *inner, *halves, run]][group % 3]
+        for part in shown:
+            texts[group * 100 + n] = [*some(rng, rng.randint(40, 80)), *part, *some(rng, rng.randint(40, 80))]
+            n += 1
+    found = {}
+    for p in P.find_passages(table(spark, {i: " ".join(x) for i, x in texts.items()})).collect():
+        found.setdefault(p.doc_id, set()).update(range(p.begin_word, p.end_word))
+        if p.similarity == 1:
+            assert texts[p.doc_id][p.begin_word : p.end_word] == texts[p.source_id][p.source_begin : p.source_end]
+    seen, repeated = set(), {}
+    for i, words in sorted(texts.items()):
+        runs = [(tuple(words[j : j + P.LEAST_WORDS]), j) for j in range(len(words) - P.LEAST_WORDS + 1)]
+        repeated[i] = {w for run, j in runs if run in seen for w in range(j, j + P.LEAST_WORDS)}
+        seen.update(run for run, _ in runs)
+    assert sum(map(bool, repeated.values())) == 25
+    assert all(repeated[i] <= found.get(i, set()) for i in texts)
+
+
 def test_short_shared_runs_are_no_passages(spark):
     rng = random.Random(9)
     run = some(rng, P.LEAST_WORDS - 1)
