@@ -185,6 +185,8 @@ def type_flow(flows: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> Dat
         frontier = rounds.add(step.join(rounds.all(spark), ["type", "node"], "left_anti"))
         if frontier.isEmpty():
             break
+    else:
+        raise RuntimeError(f"types still flow after {max_rounds} rounds")
     return rounds.all(spark).select(F.col("node").alias("value"), "type")
 
 

@@ -167,3 +167,12 @@ def test_call_graphs(spark):
     assert graph.build_call_graph(coarse, lambda: 1 / 0, cone, "vta")[1] == "cha"
     with pytest.raises(ValueError):
         graph.build_call_graph(coarse, lambda: fine, cone, "x")
+
+
+def test_type_flow_beyond_its_rounds_falls_back_with_a_warning(spark):
+    flows = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", "p.A")], "value string, type string")
+    coarse = spark.createDataFrame([("s", "f")], "site string, callee string")
+    calls, algo, warnings = graph.build_call_graph(coarse, lambda: graph.type_flow(flows, seeds, max_rounds=2), coarse, algo="vta")
+    assert calls is coarse and algo == "cha" and "RuntimeError" in warnings[0]
+    assert graph.type_flow(flows, seeds, max_rounds=4).count() == 4
