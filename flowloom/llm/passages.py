@@ -5,17 +5,22 @@ Seeds are hashes of K words in lower case; of every WINDOW neighbouring ones the
 joined to its first occurrence (smallest id, then position), never to all others: matches grow
 with the words, whatever the size of a group of copies. The matches of two documents are
 chained in order with a cost for gaps, the best chain to each match being found through a
-Fenwick tree over positions in the earlier document. Chains are aligned word by word (gaps
-between matches by edit distance, the ends by extension along the diagonal), and segments of
-the alignment in which matches outweigh mismatches at ``SIMILARITY`` are passages if they hold at
-least ``LEAST_WORDS`` words.
-
-A first occurrence may stand in a document that has only part of a run, so what chains leave open is
-looked up exactly: of each run of LEAST_WORDS words the smallest hash of ANCHOR words is its anchor. Where an
+Fenwick tree over positions in the earlier document. Chains are aligned word by word: gaps
+between matches by edit distance; the ends straight on and by chains of END_K-word matches, in a window around
+the chain, or in the whole texts if the alignment meets the edge of that. Of the alignment, the longest segments with at
+least ``LEAST_WORDS`` words and a similarity of ``SIMILARITY`` are passages.
+
+A first occurrence may stand in a document that has only part of a passage. So two neighbouring
+matches of a document with different sources are a key of their own, and a match with the first document
+that repeats it: the parts may come from several sources, the whole is found in the first document that joins
+them. What is open then is looked up exactly: of each run of LEAST_WORDS words the smallest hash of ANCHOR words is its anchor. Where an
 anchor occurs in an earlier document too and passages do not cover its runs, the hashes of whole
 runs, there and at all places of that anchor, are joined to their first occurrence. So every
 word of a run of LEAST_WORDS words that an earlier document has lies in a passage.
 
+A key that more than one row in HOT has is joined by broadcast (there are at most HOT of these), so no
+key makes one task large.
+
 Chains are compared by 32-bit hashes of words. Texts are only sent to documents that take part
 in a chain, and of those only the words around the chain meet.
 
@@ -36,14 +41,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 from flowloom.llm import scratch
 from flowloom.llm.words import Words, slices, texts_of
 
-K, WINDOW = 5, 12
+K, WINDOW = 5, 8
 LEAST_WORDS, SIMILARITY = 50, 0.8
 #: Words of an anchor; fewer give fewer rows, but more that are shared by chance.
 ANCHOR = 12
 #: Cost of each word skipped in either text by a link of a chain.
 GAP = 0.04
-#: Words around a chain in which its ends may be extended.
-MARGIN = 64
+#: Words around a chain in which its ends may be extended, and words of a match by which they are.
+MARGIN, END_K = 64, 3
+#: Next matches, and words up to them, that make a key with a match.
+NEIGHBOURS, NEAR = 8, 30
+#: A key with more than this share of the rows is hot.
+HOT = 2000
 #: Most ids of documents in chains that are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -104,11 +113,27 @@ def seeds(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"h long, doc_id {kind}, pos int, last int")
 
 
-def matches(found: DataFrame) -> DataFrame:
+def repeated(found: DataFrame, label: str, rows: DataFrame | None = None) -> DataFrame:
+    """The rows (h, doc_id, pos and others; of found, or some of these) whose h several documents have, with its first place: s, spos."""
+    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = first.where("last != first.doc_id").select("h", "n", F.col("first.doc_id").alias("s"), F.col("first.pos").alias("spos"))
+    first = scratch.keep(first, label)
+    rows, few = found if rows is None else rows, found.count() // HOT
+    hot, rest = F.broadcast(first.where(F.col("n") > few).drop("n")), first.where(F.col("n") <= few).drop("n")
+    return rows.join(hot, "h").unionByName(rows.join(hot.select("h"), "h", "left_anti").join(rest, "h"))
+
+
+def matches(found: DataFrame, label: str = "first") -> DataFrame:
     """t, s, tpos, spos: each seed of a document and its first occurrence, in an earlier document."""
-    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last"))
-    first = first.where("last != first.doc_id").select("h", F.col("first.doc_id").alias("s"), F.col("first.pos").alias("spos"))
-    return found.join(first, "h").where("doc_id != s").select(F.col("doc_id").alias("t"), "s", F.col("pos").alias("tpos"), "spos")
+    return repeated(found, label).where("doc_id != s").select(F.col("doc_id").alias("t"), "s", F.col("pos").alias("tpos"), "spos")
+
+
+def joints(met: DataFrame) -> DataFrame:
+    """h, doc_id, pos: neighbouring matches with different sources, each such pair as one key."""
+    order = Window.partitionBy("t").orderBy("tpos", "s", "spos")
+    after = F.array(*(F.lead(F.struct("s", "spos", "tpos"), n).over(order) for n in range(1, NEIGHBOURS + 1)))
+    rows = met.withColumn("after", after).select("t", "s", "tpos", "spos", F.explode("after").alias("next")).where(f"next.s != s and next.tpos - tpos <= {NEAR}")
+    return rows.select(F.xxhash64("s", "spos", "next.s", "next.spos").alias("h"), F.col("t").alias("doc_id"), F.col("tpos").alias("pos"))
 
 
 # ---------------------------------------------------------------- chaining
@@ -137,15 +162,15 @@ class Fenwick:
         return found
 
 
-def chains(t: np.ndarray, s: np.ndarray, k: int = K, gap: float = GAP) -> list[np.ndarray]:
-    """Chains of at least two of the matches (t ascending), as arrays of their numbers.
+def chains(t: np.ndarray, s: np.ndarray, k: int = K, gap: float = GAP, least: int = 2) -> list[np.ndarray]:
+    """Chains of at least ``least`` of the matches (t ascending), as arrays of their numbers.
 
     A chain is worth k for each match less ``gap`` for every word between successive matches in
     either text; t and s both ascend along it. The best chain is taken, then the best of the rest
     that shares nothing with it, and so on.
     """
     n = len(t)
-    if n < 2:
+    if n < least:
         return []
     step_t, step_s = np.diff(t), np.diff(s)
     if (step_s > 0).all() and (step_t > 0).all() and (gap * (step_t + step_s) < k).all():
@@ -168,46 +193,57 @@ def chains(t: np.ndarray, s: np.ndarray, k: int = K, gap: float = GAP) -> list[n
             used[j] = True
             path.append(j)
             j = back[j]
-        if len(path) > 1:
+        if len(path) >= least:
             out.append(np.array(path[::-1]))
     return out
 
 
-def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains (t, s, anchors) of matches that come sorted by t, s, tpos."""
-    held: list[tuple] = []
-    now = None
-
-    def close() -> list[tuple]:
-        if sum(len(x) for x, _ in held) < 2:
-            return []
-        t, s = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
-        return [(*now, np.stack([t[c], s[c]]).astype(np.int32).tobytes()) for c in chains(t, s)]
-
-    def batch(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
-        t, s, anchors = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(t, like.column(0).type), pa.array(s, like.column(1).type), pa.array(anchors, pa.binary())], ["t", "s", "anchors"])
+def _chain_rows(least: int):
+    """Chains (t, s, anchors) of at least ``least`` matches that come sorted by t, s, tpos."""
 
-    like = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        like, rows = b, []
-        t, s, tpos, spos = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        cuts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (s[1:] != s[:-1])) + 1, [len(t)]])
-        size = np.diff(cuts)
-        edge = np.zeros(len(size), bool)
-        edge[[0, -1]] = True
-        for r in np.flatnonzero((size > 1) | edge).tolist():
-            i, j = int(cuts[r]), int(cuts[r + 1])
-            if (t[i], s[i]) != now:
-                rows += close()
-                held, now = [], (t[i], s[i])
-            held.append((tpos[i:j], spos[i:j]))
-        if rows:
-            yield batch(rows, b)
-    if rows := close():
-        yield batch(rows, like)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def close() -> list[tuple]:
+            if sum(len(x) for x, _ in held) < least:
+                return []
+            t, s = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
+            return [(*now, np.stack([t[c], s[c]]).astype(np.int32).tobytes()) for c in chains(t, s, least=least)]
+
+        def batch(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+            t, s, anchors = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(t, like.column(0).type), pa.array(s, like.column(1).type), pa.array(anchors, pa.binary())], ["t", "s", "anchors"])
+
+        like = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            like, rows = b, []
+            t, s, tpos, spos = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            cuts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (s[1:] != s[:-1])) + 1, [len(t)]])
+            size = np.diff(cuts)
+            edge = np.zeros(len(size), bool)
+            edge[[0, -1]] = True
+            for r in np.flatnonzero((size >= least) | edge).tolist():
+                i, j = int(cuts[r]), int(cuts[r + 1])
+                if (t[i], s[i]) != now:
+                    rows += close()
+                    held, now = [], (t[i], s[i])
+                held.append((tpos[i:j], spos[i:j]))
+            if rows:
+                yield batch(rows, b)
+        if rows := close():
+            yield batch(rows, like)
+
+    return run
+
+
+def chained(met: DataFrame, label: str, least: int = 2) -> DataFrame:
+    """Chains (t, s, anchors) of matches."""
+    kind = met.schema["t"].dataType.simpleString()
+    rows = met.select("t", "s", "tpos", "spos").repartition("t").sortWithinPartitions("t", "s", "tpos", "spos")
+    return scratch.keep(rows.mapInArrow(_chain_rows(least), f"t {kind}, s {kind}, anchors binary"), label)
 
 
 # ---------------------------------------------------------------- alignment
@@ -237,16 +273,49 @@ def align_gap(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def _extend(same: np.ndarray) -> int:
     """Words to extend by: where matches outweigh mismatches most, before a run of mismatches ends it."""
-    if not len(same):
-        return 0
-    total = np.cumsum(np.where(same, 1, -2))
-    fall = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total > 12)
-    total = total[: fall[0]] if len(fall) else total
-    return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
+    total = best = n = 0
+    for i, x in enumerate(same.tolist(), 1):
+        total += 1 if x else -2
+        if total > best:
+            best, n = total, i
+        elif best - total > 12:
+            break
+    return n
+
+
+def further(a: np.ndarray, b: np.ndarray, k: int = END_K) -> list[tuple[int, int]]:
+    """Chain of k-word matches in two short texts that goes on from a match just before both."""
+    one, two = (list(zip(*(x[i:] for i in range(k)))) for x in (a.tolist(), b.tolist()))
+    both = set(one).intersection(two)
+    if not both:
+        return []
+    places: dict[tuple, list[int]] = {}
+    for j, key in enumerate(two):
+        if key in both:
+            places.setdefault(key, []).append(j)
+    found = [(i, j) for i, key in enumerate(one) if key in both for j in places[key]]
+    t, s = np.array([(-k, -k), *found]).T
+    return next(([found[x - 1] for x in c[1:].tolist()] for c in chains(t, s, k) if c[0] == 0), [])
+
+
+def ahead(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Where the alignment of a match just before both texts goes on: runs (in a, in b, words)."""
+    out, i, j = [], 0, 0
+    while True:
+        room = min(len(a) - i, len(b) - j, 4 * MARGIN)
+        if n := _extend(a[i : i + room] == b[j : j + room]):
+            out.append((i, j, n))
+            i, j = i + n, j + n
+        new = further(a[i : i + MARGIN], b[j : j + MARGIN])
+        out += [(i + x, j + y, END_K) for x, y in new]
+        if new:
+            i, j = i + new[-1][0] + END_K, j + new[-1][1] + END_K
+        elif not n:
+            return out
 
 
 def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Matched word pairs (in a, in b) of the alignment along a chain with matches at at, bt."""
+    """Matched word pairs (in a, in b) of the alignment along a chain with matches at at, bt, and on from its ends."""
     pa_, pb = [], []
 
     def straight(i: int, j: int, n: int) -> None:
@@ -254,55 +323,69 @@ def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray, k: int =
         pa_.append(eq + i)
         pb.append(eq + j)
 
-    back = min(at[0], bt[0])
-    n = _extend((a[at[0] - back : at[0]] == b[bt[0] - back : bt[0]])[::-1])
-    straight(at[0] - n, bt[0] - n, n)
-    turns = np.flatnonzero(np.diff(at - bt)) + 1
-    runs = np.split(np.arange(len(at)), turns)
-    for r, run in enumerate(runs):
-        i, j = int(at[run[0]]), int(bt[run[0]])
-        n = int(at[run[-1]]) - i + k
-        if r + 1 < len(runs):  # do not run past the next match in either text
-            ni, nj = int(at[runs[r + 1][0]]), int(bt[runs[r + 1][0]])
-            n = min(n, ni - i, nj - j)
-            straight(i, j, n)
-            for x, y in align_gap(a[i + n : ni], b[j + n : nj]):
-                pa_.append(np.array([i + n + x]))
-                pb.append(np.array([j + n + y]))
-        else:
-            ahead = min(len(a) - i - n, len(b) - j - n)
-            n += _extend(a[i + n : i + n + ahead] == b[j + n : j + n + ahead])
+    i, j, x, y = int(at[0]), int(bt[0]), int(at[-1]) + k, int(bt[-1]) + k
+    runs = [(i - u - n, j - v - n, n) for u, v, n in reversed(ahead(a[:i][::-1], b[:j][::-1]))]
+    turns = np.append(True, np.diff(at - bt) != 0)
+    first = np.flatnonzero(turns)
+    last = np.append(first[1:], len(at)) - 1
+    runs += [(int(at[f]), int(bt[f]), int(at[e] - at[f]) + k) for f, e in zip(first.tolist(), last.tolist())]
+    runs += [(x + u, y + v, n) for u, v, n in ahead(a[x:], b[y:])]
+    for r, (i, j, n) in enumerate(runs):
+        if r + 1 == len(runs):
             straight(i, j, n)
+            break
+        ni, nj, _ = runs[r + 1]  # do not run past the next match in either text
+        n = min(n, ni - i, nj - j)
+        straight(i, j, n)
+        for x, y in align_gap(a[i + n : ni], b[j + n : nj]):
+            pa_.append(np.array([i + n + x]))
+            pb.append(np.array([j + n + y]))
     return np.concatenate(pa_), np.concatenate(pb)
 
 
+def _start_costs(total: np.ndarray, skipped: np.ndarray, cost: float) -> np.ndarray:
+    """What a segment that begins at each pair takes off the sum up to its end: its own skipped words lie before it."""
+    return total[:-1] - np.append(0.0, cost * skipped[1:])
+
+
 def segments(pairs_a: np.ndarray, pairs_b: np.ndarray, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
     """Passages on an alignment: (begin, end) in a, (begin, end) in b, similarity.
 
-    A matched pair counts 1 - similarity, a word of the longer side without a pair costs similarity;
-    the segment with the largest sum is taken, then those on either side of it.
+    A matched pair counts 1 - similarity, a word of the longer side without a pair costs similarity.
+    Of the stretch in which matches outweigh the words without one most, the longest segment
+    whose sum is not negative is taken, then what lies on either side of it is searched.
     """
+    if len(pairs_a) < similarity * least:
+        return []
     out, todo = [], [(0, len(pairs_a))]
-    skipped = np.maximum(np.diff(pairs_a, prepend=pairs_a[:1] - 1), np.diff(pairs_b, prepend=pairs_b[:1] - 1)) - 1
+    every = np.maximum(np.diff(pairs_a, prepend=pairs_a[:1] - 1), np.diff(pairs_b, prepend=pairs_b[:1] - 1)) - 1
     while todo:
         lo, hi = todo.pop()
         if hi - lo < similarity * least:
             continue
-        gain = (1 - similarity) - similarity * skipped[lo:hi]
-        gain[0] = 1 - similarity
-        total = np.concatenate([[0.0], np.cumsum(gain)])
-        # a segment from x to y begins at pair x, whose own skipped words lie before it
-        floor = np.minimum.accumulate((total[:-1] + np.append(0.0, -similarity * skipped[lo + 1 : hi]))[: hi - lo])
-        y = int((total[1:] - floor).argmax())
-        start = (total[:-1] + np.append(0.0, -similarity * skipped[lo + 1 : hi]))[: y + 1]
-        x = int(start.argmin())
-        i, j = lo + x, lo + y
+        skipped = every[lo:hi]
+        total = np.append(0.0, np.cumsum(0.5 - 0.5 * np.append(0, skipped[1:])))
+        start = _start_costs(total, skipped, 0.5)
+        y = int((total[1:] - np.minimum.accumulate(start)).argmax())
+        left, right = lo + int(start[: y + 1].argmin()), lo + y + 1
+        if lo < left:
+            todo.append((lo, left))
+        if right < hi:
+            todo.append((right, hi))
+        skipped = every[left:right]
+        total = np.append(0.0, np.cumsum((1 - similarity) - similarity * np.append(0, skipped[1:])))
+        floor = np.minimum.accumulate(_start_costs(total, skipped, similarity))
+        # of the beginnings that give each end a sum of zero or more, the first; rounding must not lose the exact share
+        begin = np.searchsorted(-floor, -(total[1:] + 1e-9))
+        own = pairs_a[left:right]
+        length = np.where(begin < len(own), own - own[np.minimum(begin, len(own) - 1)] + 1, 0)
+        y = int(length.argmax())
+        if length[y] < least:
+            continue
+        i, j = left + int(begin[y]), left + y
         a0, a1, b0, b1 = int(pairs_a[i]), int(pairs_a[j]) + 1, int(pairs_b[i]), int(pairs_b[j]) + 1
-        n = max(a1 - a0, b1 - b0)
-        if a1 - a0 >= least and (j - i + 1) >= similarity * n:
-            out.append((a0, a1, b0, b1, (j - i + 1) / n))
-        if (y - x + 1) >= similarity * least:
-            todo += [(lo, i), (j + 1, hi)]
+        out.append((a0, a1, b0, b1, (j - i + 1) / max(a1 - a0, b1 - b0)))
+        todo += [(left, i), (j + 1, right)]
     return sorted(out)
 
 
@@ -315,38 +398,77 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["doc_id", "words"])
 
 
+def _stopped(left_a: int, more_a: bool, left_b: int, more_b: bool, near: int = MARGIN // 4) -> bool:
+    """Whether an alignment ends near the edge of a window (left: words up to there) and the text goes on (more)."""
+    return more_a and left_a < near and (more_b or left_b > left_a) or more_b and left_b < near and (more_a or left_a > left_b)
+
+
 def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages, and the chains (anchors not null) whose alignment meets an edge of its window that is none of its text."""
     for batch in batches:
         rows = []
-        for t, s, anchors, t0, s0, own, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in range(batch.num_rows):
+            t, s, anchors, t0, t_words, s0, s_words, own, other = (c[row].as_py() for c in batch.columns)
             at, bt = np.frombuffer(anchors, np.int32).reshape(2, -1).astype(np.int64)
             a, b = np.frombuffer(own, np.uint32), np.frombuffer(other, np.uint32)
             inside = (at - t0 + K <= len(a)) & (bt - s0 + K <= len(b))  # always, but for ids that are not unique
-            if inside.any():
-                rows += [(t, x + t0, y + t0, s, u + s0, v + s0, share) for x, y, u, v, share in segments(*align(a, b, at[inside] - t0, bt[inside] - s0))]
+            there = set(b.tolist())
+            # a passage holds so many words that b has too, and the window shows that many of it
+            if not inside.any() or sum(map(there.__contains__, a.tolist())) < SIMILARITY * LEAST_WORDS:
+                continue
+            x, y = align(a, b, at[inside] - t0, bt[inside] - s0)
+            early = _stopped(x[0], t0 > 0, y[0], s0 > 0)
+            late = _stopped(len(a) - 1 - x[-1], len(a) == t_words, len(b) - 1 - y[-1], len(b) == s_words)
+            if early or late:
+                rows.append((t, None, None, s, None, None, None, anchors))
+            else:
+                rows += [(t, p + t0, q + t0, s, u + s0, v + s0, share, None) for p, q, u, v, share in segments(x, y)]
+        if rows:
+            yield _batch(rows, batch.column(0).type, [*_PASSAGE, "anchors"])
+
+
+def _whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of pairs of whole texts with all their open chains.
+
+    A chain inside a passage that another has given is left out: it could only show the same words once more,
+    as in texts that repeat a line.
+    """
+    for batch in batches:
+        rows = []
+        for row in range(batch.num_rows):
+            t, s, found, own, other = (c[row].as_py() for c in batch.columns)
+            a, b = np.frombuffer(own, np.uint32), np.frombuffer(other, np.uint32)
+            done: list[tuple[int, int, int, int, float]] = []
+            for at, bt in sorted((np.frombuffer(x, np.int32).reshape(2, -1).astype(np.int64) for x in found), key=lambda c: c[0].tolist()):
+                inside = (at + K <= len(a)) & (bt + K <= len(b))  # always, but for ids that are not unique
+                if inside.any() and not any(p <= at[0] and at[-1] + K <= q for p, q, *_ in done):
+                    done += segments(*align(a, b, at[inside], bt[inside]))
+            rows += [(t, p, q, s, u, v, share) for p, q, u, v, share in done]
         if rows:
-            kinds = [batch.column(0).type, pa.int32(), pa.int32(), batch.column(1).type, pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_PASSAGE)
+            yield _batch(rows, batch.column(0).type, _PASSAGE)
+
+
+def _batch(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    kinds = [kind, pa.int32(), pa.int32(), kind, pa.int32(), pa.int32(), pa.float64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds)], names=names)
 
 
 _PASSAGE = ["doc_id", "begin_word", "end_word", "source_id", "source_begin", "source_end", "similarity"]
 
 
-def shared_anchors(found: DataFrame) -> DataFrame:
-    """The anchors that several documents have, each with the first of these (first_id)."""
-    by = found.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    return found.join(by.where("first_id != last_id").drop("last_id"), "h")
+def covered_words(passages: DataFrame) -> DataFrame:
+    """doc_id and spans: the places of its passages in order."""
+    return scratch.keep(passages.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin_word", "end_word"))).alias("spans")), "covered")
 
 
 def exact_passages(documents: DataFrame, shared: DataFrame, passages: DataFrame) -> DataFrame:
     """Runs of LEAST_WORDS words or more that an earlier document has and passages do not cover."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin_word", "end_word"))).alias("spans"))
-    spans = scratch.keep(spans, "covered")
+    spans = covered_words(passages)
     # the word up to which passages cover all words from pos on
     reach = F.aggregate("spans", F.col("pos"), lambda end, p: F.when(p["begin_word"] <= end, F.greatest(end, p["end_word"])).otherwise(end))
     reach = F.coalesce(reach, F.col("pos"))
-    open_ = (F.col("doc_id") != F.col("first_id")) & (reach < F.col("last") + LEAST_WORDS)
+    open_ = (F.col("doc_id") != F.col("s")) & (reach < F.col("last") + LEAST_WORDS)
     shared = scratch.keep(shared.join(spans, "doc_id", "left").select("h", "doc_id", "pos", "last", open_.alias("open")), "anchors-open")
     wanted = scratch.keep(shared.where("open").select("h").distinct(), "anchors-wanted")
     places = shared.join(scratch.small(wanted, BROADCAST_IDS), "h", "left_semi")
@@ -354,10 +476,9 @@ def exact_passages(documents: DataFrame, shared: DataFrame, passages: DataFrame)
     # ids are broadcast, the long rows of places are not
     texts = documents.select("doc_id", "text").join(scratch.small(places.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi").join(places.hint("shuffle_merge"), "doc_id")
     runs = scratch.keep(texts.mapInArrow(_run_hashes, f"h long, doc_id {kind}, pos int, open boolean"), "runs")
-    first = runs.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     met = runs.where("open").join(spans, "doc_id", "left").where(reach < F.col("pos") + LEAST_WORDS)
-    met = met.select("h", "doc_id", "pos").distinct().join(first, "h").where("doc_id != first.doc_id")
-    met = met.select("doc_id", F.col("first.doc_id").alias("source_id"), "pos", (F.col("first.pos") - F.col("pos")).alias("shift"))
+    met = repeated(runs, "first-runs", met.select("h", "doc_id", "pos").distinct()).where("doc_id != s")
+    met = met.select("doc_id", F.col("s").alias("source_id"), "pos", (F.col("spos") - F.col("pos")).alias("shift"))
     one = ["doc_id", "source_id", "shift"]
     order = Window.partitionBy(*one).orderBy("pos")
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(order) > LEAST_WORDS, F.lit(True)).cast("int")
@@ -388,30 +509,38 @@ def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_passages(documents: DataFrame) -> DataFrame:
     """Passages (words begin_word to end_word - 1 of doc_id) that an earlier document, source_id, has too."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
     found = scratch.keep(seeds(documents), "seeds")
-    rows = matches(found.where("last is null")).repartition("t").sortWithinPartitions("t", "s", "tpos", "spos")
-    chained = scratch.keep(rows.mapInArrow(_chain_rows, f"t {kind}, s {kind}, anchors binary"), "chains")
-    shared = scratch.keep(shared_anchors(found.where("last is not null")), "anchors")
+    met = scratch.keep(matches(found.where("last is null")), "matches")
+    shared = scratch.keep(repeated(found.where("last is not null"), "first-anchors").drop("spos"), "anchors")
     scratch.forget(found)
-    fuzzy = scratch.keep(_aligned(documents, chained), "chained-passages")
+    fuzzy = aligned(documents, chained(met, "chains"))
+    # what neighbouring matches with several sources join, where no passage is yet
+    spans = covered_words(fuzzy).withColumnRenamed("doc_id", "t")
+    inside = F.exists("spans", lambda p: (p["begin_word"] <= F.col("tpos")) & (F.col("tpos") < p["end_word"]))
+    keys = scratch.keep(joints(met), "joints")
+    more = matches(keys, "first-joints").distinct().join(spans, "t", "left").where(~F.coalesce(inside, F.lit(False)))
+    scratch.forget(met)
+    fuzzy = fuzzy.unionByName(aligned(documents, chained(more, "joint-chains", least=1)))
     return fuzzy.unionByName(exact_passages(documents, shared, fuzzy))
 
 
-def _aligned(documents: DataFrame, chained: DataFrame) -> DataFrame:
-    """Passages on the alignments of chains."""
+def aligned(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Passages on the alignments of chains: in a window around each, or in the whole texts where that is too narrow."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    ids = scratch.keep(chained.select(F.col("t").alias("doc_id")).union(chained.select("s")).distinct(), "chained-ids")
+    ids = scratch.keep(found.select(F.col("t").alias("doc_id")).union(found.select("s")).distinct(), "chained-ids")
     taking_part = documents.select("doc_id", "text").join(scratch.small(ids, BROADCAST_IDS), "doc_id", "left_semi")
     words = scratch.keep(taking_part.mapInArrow(_word_rows, f"doc_id {kind}, words binary"), "words")
-    ends = chained.mapInArrow(_spans, f"t {kind}, s {kind}, anchors binary, t0 int, t_words int, s0 int, s_words int")
     own = words.select(F.col("doc_id").alias("t"), F.col("words").alias("own"))
     other = words.select(F.col("doc_id").alias("s"), F.col("words").alias("other"))
     cut = lambda c, first, n: F.substr(c, F.col(first) * 4 + 1, F.col(n) * 4)
+    ends = found.mapInArrow(_spans, f"t {kind}, s {kind}, anchors binary, t0 int, t_words int, s0 int, s_words int")
     met = ends.join(own, "t").withColumn("own", cut("own", "t0", "t_words")).join(other, "s").withColumn("other", cut("other", "s0", "s_words"))
-    return met.select("t", "s", "anchors", "t0", "s0", "own", "other").mapInArrow(
-        _passage_rows, f"doc_id {kind}, begin_word int, end_word int, source_id {kind}, source_begin int, source_end int, similarity double"
-    )
+    passage = f"doc_id {kind}, begin_word int, end_word int, source_id {kind}, source_begin int, source_end int, similarity double"
+    rows = met.select("t", "s", "anchors", "t0", "t_words", "s0", "s_words", "own", "other").mapInArrow(_passage_rows, f"{passage}, anchors binary")
+    rows = scratch.keep(rows, "chained-passages")
+    open_ = rows.where("anchors is not null").groupBy(F.col("doc_id").alias("t"), F.col("source_id").alias("s")).agg(F.collect_list("anchors").alias("found"))
+    whole = open_.join(own, "t").join(other, "s").select("t", "s", "found", "own", "other").mapInArrow(_whole_rows, passage)
+    return scratch.keep(rows.where("anchors is null").drop("anchors").unionByName(whole).distinct(), "fuzzy-passages")
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,3 +168,105 @@ def test_repeated_ids_do_not_crash(spark):
     found = P.find_passages(docs)
     assert {r.doc_id for r in found.collect()} <= {2, 3}
     P.remove_passages(docs, found).collect()
+
+
+def edited(rng, words, share):
+    """Words with a share of them changed, left out or followed by a new one."""
+    out = []
+    at = set(rng.sample(range(len(words)), round(share * len(words))))
+    for i, w in enumerate(words):
+        kind = rng.randrange(4) if i in at else -1
+        out += [w] if kind < 0 else [] if kind == 0 else [w, rng.choice(VOCABULARY)] if kind == 1 else [rng.choice(VOCABULARY)]
+    return out
+
+
+def test_recall_of_passages_whose_parts_come_from_several_sources(spark):
+    """Passages of 60 to 120 words, each in two documents; their parts are in two or three earlier ones too."""
+    rng = random.Random(21)
+    texts, wanted = {}, {}
+    for group in range(120):
+        share, pieces = (0, 0.05, 0.08)[group % 3], (1, 2, 3)[group // 3 % 3]
+        run = some(rng, rng.randint(60, 120))
+        cuts = [round(len(run) * x / pieces) for x in range(pieces + 1)]
+        parts = [run[a:b] for a, b in zip(cuts, cuts[1:]) if pieces > 1]
+        for n, shown in enumerate([*parts, run, edited(rng, run, share)]):
+            lead = some(rng, rng.randint(10, 80))
+            texts[group * 10 + n] = " ".join([*lead, *shown, *some(rng, rng.randint(10, 80))])
+        wanted[group * 10 + n] = (share, pieces, len(lead), len(lead) + len(shown))
+    found = {}
+    for p in P.find_passages(table(spark, texts)).collect():
+        found.setdefault(p.doc_id, set()).update(range(p.begin_word, p.end_word))
+    recall = {}
+    for i, (share, pieces, a, b) in wanted.items():
+        recall.setdefault((share, pieces), []).append(len(found.get(i, set()) & set(range(a, b))) >= 0.8 * (b - a))
+    rates = {k: sum(v) / len(v) for k, v in recall.items()}
+    assert all(x == 1 for (share, _), x in rates.items() if share == 0), sorted(rates.items())
+    assert all(x >= 0.9 for x in rates.values()), sorted(rates.items())
+
+
+def test_passages_join_halves_of_earlier_documents(spark):
+    rng = random.Random(22)
+    texts = {}
+    for group in range(20):
+        run = some(rng, 90)
+        for n, shown in enumerate([run[:45], run[45:], run, run]):
+            texts[group * 10 + n] = " ".join([*some(rng, 50), *shown, *some(rng, 50)])
+    found = {r.doc_id: r for r in P.repeated_words(table(spark, texts), P.find_passages(table(spark, texts))).collect()}
+    assert all(found[group * 10 + 3].n_repeated_words >= 90 for group in range(20))
+    assert all(any(p.source_id == group * 10 + 2 for p in found[group * 10 + 3].passages) for group in range(20))
+
+
+def test_windows_widen_while_the_passage_goes_on(spark):
+    """The later document's first words and last words have their seeds in other, earlier documents."""
+    rng = random.Random(23)
+    run = some(rng, 900)
+    parts = {i: " ".join([*some(rng, 30), *run[a : a + 45], *some(rng, 30)]) for i, a in enumerate(range(0, 900, 45)) if i != 10}
+    docs = table(spark, parts | {100: " ".join(run), 101: " ".join(run)})
+    rows = P.find_passages(docs).where("doc_id = 101 and source_id = 100").collect()
+    assert any((p.begin_word, p.end_word) == (0, 900) for p in rows)
+
+
+def similar_runs(a, b, least=P.LEAST_WORDS):
+    """Whether some run of ``least`` words of a has a longest common subsequence of 95 % with some run of b of that length."""
+    where = {}
+    for j in range(len(b) - 4):
+        where.setdefault(tuple(b[j : j + 5]), []).append(j)
+    shifts = {}
+    for i in range(len(a) - 4):
+        for j in where.get(tuple(a[i : i + 5]), ()):
+            shifts.setdefault(i - j, []).append(i)
+    for shift in shifts:
+        same = [a[i] == b[i - shift] if 0 <= i - shift < len(b) else False for i in range(len(a))]
+        if any(sum(same[i : i + least]) >= 0.95 * least for i in range(len(a) - least + 1)):
+            return True
+    return False
+
+
+def test_whole_query_against_brute_force(spark):
+    """All pairs of 200 documents: each with a run that is 95 % the same as an earlier one's has a passage, and every passage holds."""
+    rng = random.Random(24)
+    pool = [some(rng, rng.randint(30, 140)) for _ in range(25)]
+    texts = {}
+    for i in range(200):
+        words = some(rng, rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(pool)
+            a = rng.randrange(0, len(part) // 3)
+            words += [*edited(rng, part[a:], rng.choice((0, 0, 0.02, 0.04))), *some(rng, rng.randint(0, 40))]
+        texts[i] = words
+    docs = table(spark, {i: " ".join(w) for i, w in texts.items()})
+    rows = P.find_passages(docs).collect()
+    for p in rows:
+        a, b = texts[p.doc_id][p.begin_word : p.end_word], texts[p.source_id][p.source_begin : p.source_end]
+        assert p.source_id < p.doc_id and len(a) >= P.LEAST_WORDS
+        row = [0] * (len(b) + 1)  # longest common subsequence
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] + 1 if x == y else max(new[-1], row[j]))
+            row = new
+        assert row[-1] >= P.SIMILARITY * max(len(a), len(b)) - 1e-6
+        assert p.similarity <= row[-1] / max(len(a), len(b)) + 1e-6
+    wanted = {i for i in texts if any(similar_runs(texts[i], texts[j]) for j in range(i))}
+    found = {p.doc_id for p in rows}
+    assert len(wanted - found) <= 0.02 * len(wanted)
