@@ -11,8 +11,9 @@ back pointers of all of those meet at one boundary, the ids up to it are committ
 states dropped, so a text of any length is encoded in a window of bounded size.
 
 Where no piece holds a space mark after another character, all paths meet before every run of
-marks, and at characters that no piece holds. Texts are cut there, and ids of the cuts are
-remembered in a bounded table; longer cuts stream through the window.
+marks, and at line feeds that no piece holds: there the window is empty, so what follows, up to the next such
+place, gives the same ids wherever it stands. The ids that the window committed for such a span are remembered in a
+bounded table; new spans pass the window in sorted order and keep the states of the beginning they share.
 
 Edge cases: null and empty texts have no ids; characters outside the vocabulary become byte
 pieces, or the unknown id without those; the mark U+2581 in a text is read as a space (as the
@@ -41,7 +42,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-#: Cuts that are remembered, and the longest of them.
+#: Spans that are remembered, and the longest of them.
 REMEMBERED, REMEMBERED_LENGTH = 150_000, 64
 
 
@@ -120,8 +121,7 @@ class Vocabulary:
 class Lattice:
     """Which piece is best at a position, given the states before it.
 
-    A state is (begin, id, score) of the best last piece; id is -1 for a character that no piece
-    holds and -2 at the start.
+    The id of a state is -1 for a character that no piece holds and -2 at the start.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
@@ -136,42 +136,11 @@ class Lattice:
             for n in range(1, len(piece)):
                 self.ends.setdefault(piece[n:], -1)
             self.ends[piece] = i
-        #: States of the text that was last given to whole().
-        self._text, self._last, self._back, self._score = "", [-2], [0], [0.0]
-
-    def step(self, text: str, end: int, states: list, base: int) -> tuple:
-        """The state at ``end``. ``text`` and ``states`` begin at position ``base``."""
-        ids, scores, best = self.vocabulary.ids, self.vocabulary.scores, None
-        for begin in range(max(base, end - self.window), end):
-            i = ids.get(text[begin - base : end - base])
-            before = states[begin - base]
-            if self.vocabulary.kind == BPE:
-                if i is not None and self.may_follow(before[1], i):
-                    return begin, i, 0.0
-                continue
-            if i is None and begin < end - 1:
-                continue
-            score = before[2] + (self._lowest if i is None else scores[i])
-            if best is None or score > best[2]:
-                best = (begin, -1 if i is None else i, score)
-        return best or (end - 1, -1, 0.0)
-
-    def whole(self, text: str) -> list[tuple[int, int]]:
-        """(begin, id) along the best path of a short text.
-
-        States depend on what is before them alone, so those of the beginning that the text shares with
-        the one before it are used again: texts that come sorted share most of theirs.
-        """
-        same = 0
-        for a, b in zip(text, self._text):
-            if a != b:
-                break
-            same += 1
-        last, back, score = self._last, self._back, self._score
-        del last[same + 1 :], back[same + 1 :], score[same + 1 :]
-        self._text = text
-        ends, known, size, bpe, scores = self.ends, self._may_follow, len(self.vocabulary.scores), self.vocabulary.kind == BPE, self.vocabulary.scores
-        for end in range(same + 1, len(text) + 1):
+
+    def advance(self, text: str, last: list[int], size: list[int], score: list[float]) -> None:
+        """Add the states that are missing up to the end of ``text``: id and length of the best last piece at each position, and its score."""
+        ends, known, many, bpe, scores = self.ends, self._may_follow, len(self.vocabulary.scores), self.vocabulary.kind == BPE, self.vocabulary.scores
+        for end in range(len(last), len(text) + 1):
             best, at, high = -1, end - 1, 0.0 if bpe else score[end - 1] + self._lowest
             found = False
             for begin in range(end - 1, max(-1, end - 1 - self.window), -1):
@@ -182,7 +151,7 @@ class Lattice:
                     continue
                 before = last[begin]
                 if bpe:
-                    follows = known.get(before * size + i) if before >= 0 else None
+                    follows = known.get(before * many + i) if before >= 0 else None
                     if follows is None:
                         follows = self.may_follow(before, i)
                     if follows:
@@ -191,14 +160,8 @@ class Lattice:
                 elif (new := score[begin] + scores[i]) >= high or not found and begin == end - 1:
                     best, at, high, found = i, begin, new, True
             last.append(best)
-            back.append(at)
+            size.append(end - at)
             score.append(high)
-        path, at = [], len(text)
-        while at:
-            path.append((back[at], last[at]))
-            at = back[at]
-        path.reverse()
-        return path
 
     def history(self, i: int) -> tuple | None:
         """The ranks at which merging builds a piece, and its outer symbols before each: None if it builds something else."""
@@ -252,70 +215,131 @@ class Lattice:
                 j += 1
 
 
-class Stream:
-    """Encodes a text that arrives in parts, and hands out ids as soon as they are certain."""
+class Window:
+    """The text that is not committed yet, with the state at each of its positions."""
 
     def __init__(self, lattice: Lattice) -> None:
-        self.lattice = lattice
-        self.base, self.text, self.states = 0, "", [(0, -2, 0.0)]
-        self.most_states = 1
+        self.lattice, self.most_states, self.commits = lattice, 1, 0
+        self._clear()
 
-    def feed(self, part: str) -> list[int]:
+    def _clear(self) -> None:
+        self.text, self.last, self.size, self.score, self.dropped = "", [-2], [0], [0.0], False
+
+    def rewind(self, text: str) -> str:
+        """Begin ``text`` anew with the states of the beginning that it shares with the window; returns the rest of it.
+
+        States depend on what is before them alone.
+        """
+        if self.dropped:
+            self._clear()
+        same = 0
+        for a, b in zip(text, self.text):
+            if a != b:
+                break
+            same += 1
+        self.text = text[:same]
+        del self.last[same + 1 :], self.size[same + 1 :], self.score[same + 1 :]
+        return text[same:]
+
+    def push(self, part: str) -> list[int]:
         """Take more text; returns the ids that became certain."""
         out: list[int] = []
-        for char in part:
-            self.text += char
-            self.states.append(self.lattice.step(self.text, self.base + len(self.text), self.states, self.base))
-            if len(self.states) > 2 * self.lattice.window:
-                self.most_states = max(self.most_states, len(self.states))
+        step = self.lattice.window
+        for i in range(0, len(part), step):
+            self.text += part[i : i + step]
+            self.lattice.advance(self.text, self.last, self.size, self.score)
+            self.most_states = max(self.most_states, len(self.last))
+            if len(self.last) > 3 * step:
                 out += self._commit(self._meeting())
         return out
 
-    def finish(self) -> list[int]:
-        """The ids of the rest."""
-        return self._commit(self.base + len(self.text))
+    def close(self) -> list[int]:
+        """The ids of the rest, which stays until the next text begins."""
+        return self._ids(len(self.text))
 
     def _meeting(self) -> int:
         """The last boundary on the paths of all states that can still be continued."""
-        end = self.base + len(self.text)
-        alive = set(range(max(self.base, end - self.lattice.window + 1), end + 1))
+        end = len(self.text)
+        alive = set(range(max(0, end - self.lattice.window + 1), end + 1))
         while len(alive) > 1:
             last = max(alive)
             alive.discard(last)
-            alive.add(self.states[last - self.base][0])
+            alive.add(last - self.size[last])
         return alive.pop()
 
+    def _ids(self, boundary: int) -> list[int]:
+        path, at = [], boundary
+        while at > 0:
+            path.append((at - self.size[at], self.last[at]))
+            at -= self.size[at]
+        self.commits += bool(path)
+        return self.lattice.vocabulary.written(self.text, reversed(path))
+
     def _commit(self, boundary: int) -> list[int]:
-        vocabulary, path, at = self.lattice.vocabulary, [], boundary
-        while at > self.base:
-            begin, i, _ = self.states[at - self.base]
-            path.append((begin - self.base, i))
-            at = begin
-        ids = vocabulary.written(self.text, reversed(path))
-        if boundary > self.base:
-            self.text = self.text[boundary - self.base :]
-            self.states = self.states[boundary - self.base :]
-            self.base = boundary
+        ids = self._ids(boundary)
+        if boundary:
+            self.text, self.dropped = self.text[boundary:], True
+            del self.last[:boundary], self.size[:boundary], self.score[:boundary]
         return ids
 
 
+class Stream:
+    """Encodes a normalised text that arrives in parts, and hands out ids as soon as they are certain.
+
+    Spans are taken from the table of remembered ones or pass the window; a span that is longer than those
+    stays in the window, whose size is bounded.
+    """
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer, self.window, self.open, self.end = tokenizer, Window(tokenizer.lattice), "", ""
+
+    def feed(self, part: str) -> list[int]:
+        """Take more text; returns the ids that became certain."""
+        spans, out = self.tokenizer.spans, []
+        if spans is None:
+            return self.window.push(part)
+        if self.end:  # a long span goes on up to the next mark after another character, or line feed
+            there = re.compile(f"(?<!{MARK}){MARK}|\n").search(self.end + part, 1)
+            n = there.start() - 1 if there else len(part)
+            out += self.window.push(part[:n])
+            self.end, part = (part[:n] or self.end)[-1], part[n:]
+            if not there:
+                return out
+            out += self.window.close()
+            self.end = ""
+            self.window.rewind("")
+        *whole, self.open = spans.findall(self.open + part) or [""]
+        out += self.tokenizer.ids_of(whole)
+        if len(self.open) > REMEMBERED_LENGTH:
+            out += self.window.push(self.window.rewind(self.open))
+            self.open, self.end = "", self.open[-1]
+        return out
+
+    def finish(self) -> list[int]:
+        """The ids of the rest."""
+        rest, self.open = self.open, ""
+        return self.tokenizer.ids_of([rest]) if rest else self.window.close()
+
+
 class Tokenizer:
     """Encodes and decodes whole texts."""
 
     def __init__(self, model: bytes) -> None:
         self.vocabulary = Vocabulary(model)
         self.lattice = Lattice(self.vocabulary)
-        #: Ids of cuts as bytes, at most twice REMEMBERED and what a call needs: the older half goes when the newer is full.
+        #: Passes of new spans.
+        self.window = Window(self.lattice)
+        #: Ids of spans as bytes, at most twice REMEMBERED and what a call needs: the older half goes when the newer is full.
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         line = "" if "\n" in self.vocabulary.alphabet else "\n"
-        self._cuts = None if self.vocabulary.inner_marks else re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else ""))
+        self.spans = None if self.vocabulary.inner_marks else re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else ""))
 
     def stream(self, text: str) -> list[int]:
-        """Ids of normalised text through the window alone."""
-        stream = Stream(self.lattice)
-        ids = stream.feed(text)
-        return self._one_unknown(np.array(ids + stream.finish(), np.int32)).tolist()
+        """Ids of normalised text that passes a window of its own."""
+        window = Window(self.lattice)
+        ids = window.push(text)
+        return self._one_unknown(np.array(ids + window.close(), np.int32)).tolist()
 
     def _one_unknown(self, ids: np.ndarray) -> np.ndarray:
         """Without byte pieces, a run of unknown characters has one id."""
@@ -324,32 +348,36 @@ class Tokenizer:
         unknown = ids == self.vocabulary.unknown
         return ids[~(unknown & np.append(False, unknown[:-1]))]
 
-    def cut(self, text: str) -> list[int]:
-        """Ids of normalised text: short ones in one piece, others through the window."""
-        return self.vocabulary.written(text, self.lattice.whole(text)) if len(text) <= REMEMBERED_LENGTH else self.stream(text)
-
     def normalise(self, text: str) -> str:
         return (MARK if self.vocabulary.dummy_prefix and text else "") + text.replace(" ", MARK)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
+    def ids_of(self, spans: list[str]) -> list[int]:
+        """Ids of spans in order."""
+        return np.frombuffer(b"".join(map(self._learn(spans).__getitem__, spans)), np.int32).tolist()
+
+    def _learn(self, spans: Iterable[str]) -> dict[str, bytes]:
+        """The table of remembered spans, with all of these: new ones pass the window in sorted order."""
+        if len(self._known) > REMEMBERED:
+            self._known, self._older = {}, self._known
+        known, older, window, once = self._known, self._older, self.window, {}
+        for span in sorted(set(spans).difference(known)):
+            found = older.get(span)
+            if found is None:
+                found = array("i", window.push(window.rewind(span)) + window.close()).tobytes()
+            (known if len(span) <= REMEMBERED_LENGTH else once)[span] = found
+        return known | once if once else known
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. New cuts of all texts are encoded in sorted order."""
+        """Ids of each text."""
         whole = [self.normalise(t) for t in texts]
-        if self._cuts is None:
+        if self.spans is None:
             return [np.array(self.stream(t), np.int32) for t in whole]
-        if len(self._known) > REMEMBERED:
-            self._known, self._older = {}, self._known
-        cuts = list(map(self._cuts.findall, whole))
-        known, older = self._known, self._older
-        once = {}
-        for cut in sorted(set().union(*cuts).difference(known)):
-            found = older.get(cut) or array("i", self.cut(cut)).tobytes()
-            (known if len(cut) <= REMEMBERED_LENGTH else once)[cut] = found
-        if once:
-            known = known | once
-        return [self._one_unknown(np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32)) for c in cuts]
+        spans = list(map(self.spans.findall, whole))
+        known = self._learn(set().union(*spans))
+        return [self._one_unknown(np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32)) for c in spans]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.vocabulary.surface.__getitem__, ids)).decode("utf-8", "replace")

@@ -6,6 +6,7 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 
 from flowloom.llm import spm
+from tests.conftest import SMALL
 from tests.llm.conftest import ODD
 
 MODEL = spm.read_model()
@@ -47,18 +48,35 @@ def test_window_gives_what_whole_cuts_give():
     for _ in range(300):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 80)))
         normal = OURS.normalise(text)
-        stream = spm.Stream(OURS.lattice)
-        ids = []
-        for i in range(0, len(normal), 7):  # in parts
-            ids += stream.feed(normal[i : i + 7])
+        stream = spm.Stream(OURS)
+        ids, size = [], rng.choice((1, 7, 100))
+        for i in range(0, len(normal), size):  # in parts
+            ids += stream.feed(normal[i : i + size])
         assert ids + stream.finish() == OURS.encode(text).tolist() == THEIRS.encode(text)
 
 
 def test_window_is_bounded():
-    stream = spm.Stream(OURS.lattice)
-    ids = stream.feed("abcdefgh" * 3000)
-    assert stream.most_states <= 4 * OURS.vocabulary.longest
-    assert ids + stream.finish() == THEIRS.encode("abcdefgh" * 3000)[0:0] + OURS.stream("abcdefgh" * 3000)
+    stream = spm.Stream(OURS)
+    text = "▁▁ab " * 30 + "abcdefgh" * 3000 + "\n▁" + "x▁y" * 50
+    normal, ids = OURS.normalise(text), []
+    for i in range(0, len(normal), 500):
+        ids += stream.feed(normal[i : i + 500])
+    assert 48 < stream.window.most_states <= 4 * OURS.vocabulary.longest + 1
+    assert stream.window.commits > 100 and len(ids) > 4000
+    assert ids + stream.finish() == OURS.encode(text).tolist() == OURS.stream(normal) == THEIRS.encode(text)
+
+
+def test_every_id_was_committed_by_the_window(spark, monkeypatch):
+    made = []
+    ids = spm.Window._ids
+    monkeypatch.setattr(spm.Window, "_ids", lambda self, boundary: made.append(ids(self, boundary)) or made[-1])
+    texts = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    ours = spm.Tokenizer(MODEL)
+    found = [x.tolist() for x in ours.encode_all(texts)]
+    assert found == THEIRS.encode(texts)
+    spans = [ours.spans.findall(ours.normalise(t)) for t in texts]
+    assert sorted(i for x in made for i in x) == sorted(i for s in set().union(*spans) for i in ours.stream(s))
+    assert ours.window.commits >= len(set().union(*spans))
 
 
 def test_a_very_long_word_matches_the_library():
