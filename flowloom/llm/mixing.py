@@ -2,7 +2,8 @@ r"""Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 A source whose target is T words and which holds S words gives floor(T / S) complete epochs of
 all its documents. For what remains, each document gets the key -ln(u) / w, where u is a number
-in (0, 1) drawn from its id and w is its quality weight; in ascending order of the keys
+in (0, 1) drawn from its id and text and w is its quality weight: a score that the caller gives as a column, else
+the share of words among the words and symbols of its text. In ascending order of the keys
 documents are taken whole while the middle of a document still lies within the rest. So a source
 misses its target by at most half the words of one document.
 
@@ -10,8 +11,9 @@ The prefix sums are exact and never need a whole source in one task: keys are cu
 per source, the words of each range are added up, and only the rows inside a range are sorted.
 
 Edge cases: a null or empty text has size 0 and is taken 0 times; sources rank by code point
-with null last; equal keys are ordered by id and size, so repeated rows are taken as separate
-documents; an empty table gives an empty result; other columns are ignored. The table of
+with null last; each row is a document of its own, with or without an id; equal keys are ordered by id and size, and rows
+that are equal in id and text tie, so any of them may be taken; a weight that is null or below ``LEAST_WEIGHT`` counts as
+that; an empty table gives an empty result; other columns are ignored. The table of
 sources has one row per source; it is broadcast only below a checked number of rows.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.llm import scratch
+from flowloom.llm import rows as table_rows, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that count as symbols.
@@ -29,8 +31,9 @@ WEIGHTS = (5, 2, 1)
 #: Words to take in all, as a multiple of the words there are; most of a source, likewise.
 SHARE, MOST = 1.5, 2.0
 #: Rows of a source that one range of keys should hold.
-RANGE_ROWS = 20_000
-SEED = "mix-1"
+RANGE_ROWS = 5_000
+SEED = "mix-2"
+LEAST_WEIGHT = 0.01
 
 
 def word_count(text: Column) -> Column:
@@ -43,9 +46,10 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(size > 0, size / (size + symbols).cast("double")).otherwise(1.0)
 
 
-def uniform(ids: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from the first 52 bits of the MD5 of seed and id."""
-    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(ids.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(ids: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from the first 52 bits of the MD5 of seed, id and the MD5 of the text."""
+    said = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(ids.cast("string"), F.lit("null")), said).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
@@ -71,25 +75,28 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return rows.withColumn("target", F.least("cap", F.coalesce(F.col("weight") * F.col("level"), F.col("cap")))).drop("own_level", "level", "cap")
 
 
-def sizes(documents: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source_key (sorts as the source, null last), size, w, key of each document."""
+def sizes(documents: DataFrame, seed: str = SEED, quality: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to carry, source_key (sorts as the source, null last), size, w, key of each document."""
     size = word_count(F.col("text"))
+    w = quality_weight(F.col("text"), size) if quality is None else F.coalesce(F.col(f"`{quality}`").cast("double"), F.lit(0.0))
     rows = documents.select(
         "doc_id",
+        *carry,
         F.when(F.col("source").isNull(), "t").otherwise(F.concat(F.lit("s"), "source")).alias("source_key"),
         size.alias("size"),
-        quality_weight(F.col("text"), size).alias("w"),
+        F.greatest(w, F.lit(LEAST_WEIGHT)).alias("w"),
+        uniform(F.col("doc_id"), F.col("text"), seed).alias("u"),
     )
-    return rows.withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("w"))
+    return rows.withColumn("key", -F.ln("u") / F.col("w")).drop("u")
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """Mix documents (columns doc_id, text, source).
+def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, quality: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Mix documents (columns doc_id, text, source; quality: the column with their scores, 0 to 1).
 
-    Returns doc_id, size, source_size, target, taken: the words of the text, of its source, the
+    Returns doc_id, columns to carry, size, source_size, target, taken: the words of the text, of its source, the
     target of its source, and the words of it that the mix takes, repeats counted.
     """
-    rows = scratch.keep(sizes(documents, seed), "mix-sizes")
+    rows = scratch.keep(sizes(documents, seed, quality, carry), "mix-sizes")
     sources = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("w").alias("mean_w"))
     sources = targets(sources, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -113,4 +120,13 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     rows = rows.join(scratch.small(parts), ["source_key", "place"])
     before = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = (before + F.col("size") / 2 <= F.col("rest")).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + extra)).alias("taken"))
+    return rows.select("doc_id", *carry, "size", "source_size", "target", (F.col("size") * (F.col("epochs") + extra)).alias("taken"))
+
+
+def mixed_rows(documents: DataFrame) -> DataFrame:
+    """The rows of documents as often as the mix takes them."""
+    own = table_rows.free_name(documents, "_row")
+    taken = mix(documents.withColumn(own, table_rows.row_hash(documents)), carry=(own,))
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    marks = taken.groupBy(F.col(own).alias("row"), "doc_id").agg(F.count("*").alias("n_rows"), F.sum(times).alias("times"))
+    return table_rows.repeat_rows(documents, marks.where("times > 0"), otherwise=0)

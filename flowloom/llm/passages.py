@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowloom.llm import scratch
+from flowloom.llm import rows as table_rows, scratch
 from flowloom.llm.words import Words, slices, texts_of
 
 K, WINDOW = 5, 8
@@ -573,9 +573,7 @@ def remove_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
 
     A passage goes from its first word up to the word after it.
     """
-    own = "_spans"
-    while own in documents.columns:
-        own += "_"
+    own = table_rows.free_name(documents, "_spans")
     spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin_word", "end_word"))).alias(own))
     spans = scratch.keep(spans, "spans")
     touched = documents.join(scratch.small(spans, BROADCAST_IDS), "doc_id", "left")
@@ -608,4 +606,4 @@ def remove_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else rows.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return touched.select(*names, own).mapInArrow(run, schema)
+    return touched.select(*table_rows.columns(documents), own).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ linear-chain CRF over surface features, and a document is kept if lines of conte
 least ``KEEP_SHARE`` of its words.
 
 The CRF is trained on a bounded sample of labelled documents (``MODEL_DOCS`` of each class, in
-the order of a hash of their ids, and ``MODEL_LINES`` lines of each; the model has a few dozen
+the order of a hash of their ids, of each ``MODEL_LINES`` lines of its first ``MODEL_CHARS`` characters; the model has a few dozen
 weights, so more rows would not change it). Lines of good documents are content; of bad
 documents, the lines that show a surface sign are boilerplate (all, if none shows one). All
 documents are then scored whole.
@@ -32,7 +32,7 @@ LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 #: Share of the words that has to be in lines of content.
 KEEP_SHARE = 0.5
 #: Bounds of the sample that the CRF is trained on.
-MODEL_DOCS, MODEL_LINES = 600, 48
+MODEL_DOCS, MODEL_LINES, MODEL_CHARS = 600, 48, 20_000
 STEPS, RATE, RIDGE = 120, 0.2, 0.02
 
 #: Features of a line. From SIGNS on each is a sign of boilerplate.
@@ -211,14 +211,17 @@ class LineField:
         return cls(params[:-4].reshape(-1, 2), params[-4:].reshape(2, 2))
 
 
-def sample_labelled(documents: DataFrame, labels: DataFrame, docs: int = MODEL_DOCS) -> list[tuple[str, int]]:
-    """At most ``docs`` labelled texts of each class, in the order of a hash of their ids."""
+def sample_labelled(documents: DataFrame, labels: DataFrame, docs: int = MODEL_DOCS, chars: int = MODEL_CHARS) -> list[tuple[str, int]]:
+    """At most ``docs`` labelled texts of each class, in the order of a hash of their ids, and at most ``chars`` characters of each.
+
+    Only the training sample is bounded so, for the driver's memory; whole texts are judged.
+    """
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     one = one.where("quality = other").select("doc_id", "quality")
     by_hash = [one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs) for q in (0, 1)]
     picked = F.broadcast(by_hash[0].unionByName(by_hash[1]))
     rows = documents.select("doc_id", "text").join(picked, "doc_id").where("text is not null")
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.substring("text", 1, chars)).alias("text"))
     return [(r.text, r.quality) for r in sorted(rows.collect(), key=lambda r: (r.quality, r.doc_id))]
 
 

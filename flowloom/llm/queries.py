@@ -103,13 +103,13 @@ FROM f
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS source_key,
+  SELECT doc_id, md5(coalesce(text, '')) AS said, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS source_key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          length(text) - length(translate(text, '#*$%&|<>', '')) AS symbols
   FROM documents),
 k AS (
-  SELECT *, CASE WHEN size > 0 THEN size / CAST(size + symbols AS DOUBLE) ELSE 1.0 END AS w,
-         (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  SELECT *, greatest(CASE WHEN size > 0 THEN size / CAST(size + symbols AS DOUBLE) ELSE 1.0 END, 0.01) AS w,
+         (CAST('0x' || substr(md5('mix-2:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || said), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
   FROM d),
 s0 AS (SELECT source_key, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source_key),
 s1 AS (

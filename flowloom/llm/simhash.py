@@ -12,8 +12,8 @@ rounds too few bits are open for a bucket to be large. So no bucket is cut or sk
 
 Edge cases: null and empty texts, and texts without words, have the fingerprint zero and link
 like any other; texts of one or two words are one shingle; repeated rows share a component;
-rows without an id count as one document whose component is null unless it links to one with
-an id; rows that share an id count as one document; other columns are ignored; an empty table
+each row is a document of its own, with or without an id and whoever shares it, and links by its text alone; the
+component of a group none of whose rows has an id is null; other columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm import scratch
+from flowloom.llm import rows as table_rows, scratch
 from flowloom.llm.components import components
 from flowloom.llm.words import slices, texts_of
 
@@ -35,7 +35,6 @@ SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Most fingerprints of a bucket that are compared pair by pair. At 256 or more, a larger bucket leaves nine
 #: bits open at least, and each mask of their covering closes two or more of them, so the rounds end.
 BUCKET = 1024
-_NO_ID = (1 << 63) - 1
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -76,16 +75,17 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of all documents (doc_id, text)."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
+    """doc_id, other columns if asked for, and fp (the fingerprint as a signed long) of all documents (doc_id, text)."""
+    names = ["doc_id", *more]
+    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             fp = fingerprints_of(texts_of(part, "text")).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp)], [*names, "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return documents.select(*names, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
 def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -205,14 +205,34 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         rows = over.mapInArrow(_mask_again(radius), "mask long, key long, fp long, rep long").distinct()
 
 
+def groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, first (smallest doc_id), copies and group (a fingerprint of its component) of the distinct fingerprints (rows: doc_id, fp)."""
+    nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius)).select(F.col("node").alias("fp"), F.col("root").alias("group"))
+    return scratch.keep(nodes.join(roots, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "groups")
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of all documents (doc_id, text)."""
     rows = scratch.keep(fingerprints(documents), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    nodes = scratch.keep(nodes.select("fp", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"), "copies"), "nodes")
-    roots = components(links(nodes, radius)).select(F.col("node").alias("rep"), "root")
+    found = groups(rows, radius)
     # only fingerprints that are shared or linked can have another component than the document's own id
-    joint = nodes.join(roots, "rep", "left").where("copies > 1 or root is not null")
-    joint = joint.select("fp", F.nullif(F.coalesce("root", "rep"), F.lit(_NO_ID)).alias("component"))
+    whole = found.groupBy("group").agg(F.min("first").alias("component"), F.sum("copies").alias("n")).where("n > 1").drop("n")
+    joint = found.join(whole, "group").select("fp", "component")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(joint, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def first_of_groups(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near duplicates: that with the smallest id, those without one last; of rows that share it one, by hash."""
+    own = table_rows.free_name(documents, "_row")
+    rows = fingerprints(documents.withColumn(own, table_rows.row_hash(documents)), own).withColumnRenamed(own, "row")
+    rows = scratch.keep(rows, "fingerprints")
+    found = groups(rows, radius)
+    several = found.groupBy("group").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
+    placed = rows.join(found.join(several, "group").select("fp", "group"), "fp").withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    equal = scratch.keep(placed.groupBy("group", "place").agg(F.count("*").alias("n_rows")), "group-rows")
+    first = equal.groupBy("group").agg(F.min("place").alias("first"))
+    stays = F.col("place") == F.col("first")
+    marks = equal.join(first, "group").where(~stays | (F.col("n_rows") > 1))
+    return table_rows.repeat_rows(documents, marks.select("place.row", "place.doc_id", "n_rows", stays.cast("int").alias("times")), otherwise=1)

@@ -7,8 +7,8 @@ the better of the two compresses at all, goes through a logistic calibration.
 
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Of the others, remainder 0 gives the
 dictionaries and remainder 2 the calibration. Both samples are bounded: ``MODEL_DOCS`` labelled
-documents of each class, in the order of a hash of their ids, and of each at most
-``MODEL_BYTES`` bytes for a dictionary, whose own size is fixed. All documents are scored whole.
+documents of each class, in the order of a hash of their ids, of each at most
+``MODEL_CHARS`` characters, and of those ``MODEL_BYTES`` bytes for a dictionary, whose own size is fixed. All documents are scored whole.
 
 Edge cases: empty and null texts get the score at zero difference and no compression; without
 labelled texts of both classes every score is 0.5; ids with contradicting labels are not
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom.llm.words import slices, texts_of
 
-MODEL_DOCS, MODEL_BYTES, PIECE = 1000, 8000, 2000
+MODEL_DOCS, MODEL_CHARS, MODEL_BYTES, PIECE = 1000, 20_000, 8000, 2000
 DICTIONARY_BYTES, LEVEL, BLOCK = 112_640, 3, 1200
 FOLDS, HELD_OUT, DICTIONARY_FOLD, CALIBRATION_FOLD = 3, 1, 0, 2
 
@@ -97,7 +97,7 @@ def train(documents: DataFrame, labels: DataFrame, docs: int = MODEL_DOCS) -> Mo
             part = one.where((F.col("fold") == f) & (F.col("quality") == q)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)
             picked = part if picked is None else picked.unionByName(part)
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
-    rows = rows.groupBy("doc_id", "quality", "fold").agg(F.min("text").alias("text"))
+    rows = rows.groupBy("doc_id", "quality", "fold").agg(F.min(F.substring("text", 1, MODEL_CHARS)).alias("text"))
     rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     by = {q: [r.text.encode() for r in rows if r.fold == DICTIONARY_FOLD and r.quality == q] for q in (0, 1)}
     tune = [r for r in rows if r.fold == CALIBRATION_FOLD]
