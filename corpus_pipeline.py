@@ -2,53 +2,57 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before left, and returns
 a table; all but the last return the columns of docs. Between stages :func:`run` writes the
-table to the shared folder and reads it again.
+table to the shared folder and reads it again. Every stage takes empty tables, and columns of any name beside those of
+documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import mixing, passages, quality, scratch, simhash, spm
-
-#: Most ids that are broadcast to filter documents; beyond, documents are shuffled by id.
-BROADCAST_IDS = 1_000_000
+from flowloom.llm import mixing, passages, quality, rows, scratch, simhash, spm
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules keep. The line model is trained on the labelled ones among docs."""
+    """Documents that the line rules keep. The line model is trained on the labelled ones among docs.
+
+    Each row is judged by its text alone, whatever its id; null and empty texts are rejected. Without labels the base
+    rules decide.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id; one row for each id."""
-    found = scratch.keep(simhash.near_duplicates(docs), "components")
-    later = scratch.keep(found.where("component_id != doc_id").select("doc_id").distinct(), "later")
-    rest = docs.join(scratch.small(later, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.groupBy("doc_id").count().where("count > 1")
-    return rest if twice.isEmpty() else rest.dropDuplicates(["doc_id"])
+    """Of each group of near duplicates one row: that with the smallest id, rows without an id last.
+
+    Rows are told apart by all their columns, so rows without an id, or that share one, stay if their texts are
+    not alike; of rows that are equal in all columns one stays; null and empty texts are alike.
+    """
+    return simhash.first_of_groups(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; n_chars follows."""
+    """Documents without the passages that an earlier one has; n_chars follows.
+
+    A document of which no word is left goes; null and empty texts, and rows without an id, stay as they are;
+    rows that share an id are searched as one document, and lose the same words.
+    """
     rest = passages.remove_passages(docs, scratch.keep(passages.find_passages(docs), "passages"))
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else rest
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*rows.columns(docs)) if "n_chars" in docs.columns else rest
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document."""
-    taken = mixing.mix(docs).where("taken > 0")
-    own = "_copies"
-    while own in docs.columns:
-        own += "_"
-    copies = scratch.keep(taken.select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias(own)), "copies")
-    rows = docs.join(scratch.small(copies, BROADCAST_IDS), "doc_id")
-    return rows.withColumn(own, F.explode(F.sequence(F.lit(1), own))).select(*docs.columns)
+    """A row for each time the mix takes a document.
+
+    Each row is a document, with or without an id; texts without words are never taken; of rows that are equal in all
+    columns together there are as many as are taken of them all.
+    """
+    return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of every row."""
+    """doc_id, ids and n_tokens of every row; a null or empty text has no ids."""
     return spm.encode(docs, spm.read_model())
 
 
