@@ -39,11 +39,15 @@ def bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_d
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, reverse: bool = False) -> DataFrame:
-    """keys and node of all that the seeds reach, themselves included; with ``reverse`` all that reach them."""
-    keys = keys or []
+    """keys and node of all that the seeds reach, themselves included; with ``reverse`` all that reach them.
+
+    Edges that are a kept table are read as they are, others are written once.
+    """
+    keys, whole = keys or [], edges
     spark = edges.sparkSession
     ends = ("dst", "src") if reverse else ("src", "dst")
-    edges = tables.keep(edges.select(*keys, F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).distinct(), "edges")
+    edges = edges.select(*keys, F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"))
+    edges = tables.keep(edges.distinct(), "edges") if not hasattr(whole, "_scratch_path") else edges
     rounds = tables.Rounds(spark, "reach")
     frontier = rounds.add(seeds.select(*keys, "node").distinct())
     while not frontier.isEmpty():
@@ -58,15 +62,17 @@ def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None,
 def strictly_above(edges: DataFrame, marked: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys and node of all that have a marked node strictly below them, on cycles too."""
     keys = keys or []
+    edges = tables.keep(edges.select(*keys, "src", "dst").distinct(), "edges")
     there = reachable(edges, marked, keys, reverse=True).withColumnRenamed("node", "dst")
     return edges.join(there, [*keys, "dst"], "left_semi").select(*keys, F.col("src").alias("node")).distinct()
 
 
-def ordered_bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_depth: int = MAX_DEPTH, shared: bool = False) -> DataFrame:
+def ordered_bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_depth: int = MAX_DEPTH, shared: bool = False, max_nodes: int | None = None) -> DataFrame:
     """keys, node, depth, bfs_ord in the order of a queue: by parent, then ``ord`` of the edge.
 
     edges: keys, src, dst, ord; seeds: one node for each key. The seed has order 0. With ``shared``
-    all keys search one graph, whose edges have no keys.
+    all keys search one graph, whose edges have no keys. What is found once a key has ``max_nodes`` nodes, the
+    seed and the new one counted, leads no further.
     """
     keys = keys or []
     edge_keys = [] if shared else keys
@@ -75,7 +81,8 @@ def ordered_bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = Non
     rounds = tables.Rounds(spark, "bfs")
     frontier = rounds.add(seeds.select(*keys, "node").withColumns({"depth": F.lit(0), "bfs_ord": F.lit(0).cast("long")}))
     for depth in range(1, max_depth + 1):
-        before = frontier.select(*keys, F.col("node").alias("src"), F.col("bfs_ord").alias("parent_ord"))
+        before = frontier if max_nodes is None else frontier.where((F.col("depth") == 0) | (F.col("bfs_ord") < max_nodes - 1))
+        before = before.select(*keys, F.col("node").alias("src"), F.col("bfs_ord").alias("parent_ord"))
         step = before.join(edges, [*edge_keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min(F.struct("parent_ord", "ord")).alias("way"))
         new = step.join(rounds.all(spark).select(*keys, "node"), [*keys, "node"], "left_anti")
         so_far = frontier.groupBy(*keys).agg(F.max("bfs_ord").alias("so_far"))
@@ -234,7 +241,7 @@ def extract(sites: DataFrame, callees: DataFrame, functions: DataFrame, roots: D
     of the terminal an unresolved call becomes, null where it is none); callees: site, callee (declared
     functions in order callee_ord), resolution; functions: fn_id, visit (has a body and is in the
     module); roots: flow_id, fn_id. Nodes: flow_id, node, kind, resolution, depth, bfs_ord. Edges:
-    flow_id, src, dst, seq, async, site. Nodes at ``max_depth`` or past ``max_nodes`` are truncated terminals.
+    flow_id, src, dst, seq, async, site. Nodes at ``max_depth``, and those found once a flow has ``max_nodes``, are truncated terminals.
     """
     plain = sites.where("effect is null")
     known = callees.where("callee is not null").join(functions.where("visit").select(F.col("fn_id").alias("callee")), "callee", "left_semi")
@@ -243,9 +250,9 @@ def extract(sites: DataFrame, callees: DataFrame, functions: DataFrame, roots: D
     terminals = lost.select("caller", F.col("dynamic_name").alias("dst"), "ord", F.lit(0).alias("callee_ord"), "seq", "async", F.col("block").alias("site"), F.lit("dynamic").alias("resolution"), F.lit("terminal").alias("kind"))
     hops = tables.keep(steps.unionByName(terminals).withColumn("ord", F.struct("ord", "callee_ord")).drop("callee_ord"), "hops")
     ordered = hops.groupBy(F.col("caller").alias("src"), "dst").agg(F.min("ord").alias("ord"))
-    found = ordered_bfs(ordered, roots.select("flow_id", F.col("fn_id").alias("node")), ["flow_id"], max_depth, shared=True)
+    found = ordered_bfs(ordered, roots.select("flow_id", F.col("fn_id").alias("node")), ["flow_id"], max_depth, shared=True, max_nodes=max_nodes)
     kinds = hops.groupBy(F.col("dst").alias("node")).agg(F.max("kind").alias("kind"))
-    cut = ((F.col("depth") >= max_depth) | (F.col("bfs_ord") >= max_nodes)) & (F.col("depth") > 0)
+    cut = ((F.col("depth") >= max_depth) | (F.col("bfs_ord") >= max_nodes - 1)) & (F.col("depth") > 0)
     expanded = tables.keep(found.withColumn("cut", cut), "flow-nodes")
     live = expanded.where("not cut").select("flow_id", F.col("node").alias("caller"))
     edges = live.join(hops, "caller").join(expanded.select("flow_id", F.col("node").alias("dst")), ["flow_id", "dst"], "left_semi")

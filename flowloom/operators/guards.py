@@ -183,12 +183,13 @@ def per_function_cap(rows: DataFrame, keys: list[str], score_col: str, order: li
     return rows.withColumn("chosen", rank <= most).withColumn("overflow", F.greatest(F.lit(0), F.count("*").over(w) - most))
 
 
-def fill_budget(rows: DataFrame, keys: list[str], order: list[str], cost_col: str, budget: int = ELEMENTS) -> DataFrame:
+def fill_budget(rows: DataFrame, keys: list[str], order: list, cost_col: str, budget: int | Column = ELEMENTS) -> DataFrame:
     """rows with fits: taken in order, an item that does not fit is skipped and later ones are tried.
 
     Costs are 1 or 2. So items are taken until the first that does not fit; that costs 2 and leaves room for
-    just one, which the next item of cost 1 gets, and nothing fits after it.
+    just one, which the next item of cost 1 gets, and nothing fits after it. The budget may be a column of the group.
     """
+    budget = F.lit(budget) if isinstance(budget, int) else budget
     w = Window.partitionBy(*keys).orderBy(*order)
     run = F.sum(cost_col).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_fits", run <= budget)
@@ -198,6 +199,23 @@ def fill_budget(rows: DataFrame, keys: list[str], order: list[str], cost_col: st
     return rows.withColumn("fits", F.col("_fits") | (late & (nth == 1) & (F.col("_spent") + 1 <= budget))).drop("_fits", "_spent")
 
 
+def choose_decisions(nodes: DataFrame, found: DataFrame, most: int = PER_FUNCTION, elements: int = ELEMENTS) -> tuple[DataFrame, DataFrame]:
+    """(decisions, overflow): which decisions a flow shows, and how many each node leaves out.
+
+    nodes: flow_id, node, fn_id, kind, depth, bfs_ord, dropped_by; found: fn_id, decision, order_pos, gate, exit_kind. Each surviving
+    step shows its best ``most``; then all of a flow are taken, shallow nodes first and best outcomes first in each, as long
+    as they fit beside the entrypoint and the surviving nodes. decisions: flow_id, node, and the columns of found.
+    """
+    used = nodes.groupBy("flow_id").agg((1 + F.count_if((F.col("depth") > 0) & F.col("dropped_by").isNull())).alias("used"))
+    steps = nodes.where("kind = 'step' and dropped_by is null").select("flow_id", "node", "fn_id", "depth", "bfs_ord")
+    rows = steps.join(found, "fn_id").join(used, "flow_id").withColumns({"_score": score(F.col("gate"), F.col("exit_kind")), "_cost": cost(F.col("gate"))})
+    rows = per_function_cap(rows, ["flow_id", "node"], "_score", ["order_pos", "decision"], most)
+    order = ["depth", "bfs_ord", F.desc("_score"), "order_pos", "decision"]
+    filled = fill_budget(rows.where("chosen"), ["flow_id"], order, "_cost", F.lit(elements) - F.col("used"))
+    left = filled.groupBy("flow_id", "node").agg((F.max("overflow") + F.count_if(~F.col("fits"))).alias("overflow")).where("overflow > 0")
+    return filled.where("fits").select("flow_id", "node", *found.columns), left
+
+
 def attach(chosen: DataFrame, calls: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(chain, targets): edges among a node and its decisions in order, and the decision that each call moves to.
 

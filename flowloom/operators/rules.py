@@ -100,30 +100,40 @@ def mark(nodes: DataFrame, edges: DataFrame, rules: list[Rule], module: str) ->
 def splice(edges: DataFrame, collapsed: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Edges between surviving nodes once collapsed ones (keys, node) are contracted: a set form.
 
-    Each surviving source is joined to what it reaches through collapsed nodes alone; async if any
-    hop is, seq of the first hop, and the collapsed nodes on the way. edges: keys, src, dst, seq, async.
+    Each surviving source is joined to what it reaches through collapsed nodes alone; seq of the first hop, and the
+    collapsed nodes on the way; async if a hop is, or if a node on the way is reached async from anywhere. edges: keys,
+    src, dst, seq, async. A round holds one row for each source and node, however many ways lead there; only rows
+    that changed go on.
     """
     keys = keys or []
-    gone = collapsed.select(*keys, "node")
-    rows = edges.select(*keys, "src", "dst", "seq", "async", F.array().cast("array<string>").alias("via"))
-    starts = rows.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti")
-    inner = rows.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").select(*keys, F.col("src").alias("mid"), F.col("dst").alias("next"), F.col("async").alias("later"))
-    done, frontier = [], tables.keep(starts, "splice")
-    while not frontier.isEmpty():
-        at_gone = gone.withColumnRenamed("node", "dst")
-        done.append(frontier.join(at_gone, [*keys, "dst"], "left_anti"))
-        through = frontier.join(at_gone, [*keys, "dst"], "left_semi").withColumnRenamed("dst", "mid").join(inner, [*keys, "mid"])
-        through = through.where(~F.array_contains("via", F.col("mid").cast("string")))
-        frontier = tables.keep(
-            through.select(*keys, "src", F.col("next").alias("dst"), "seq", (F.col("async") | F.col("later")).alias("async"), F.array_append("via", F.col("mid").cast("string")).alias("via")), "splice"
-        )
-    if not done:
-        return starts.groupBy(*keys, "src", "dst").agg(F.min("seq").alias("seq"), F.bool_or("async").alias("async"), F.array().cast("array<string>").alias("via"))
-    whole = done[0]
-    for d in done[1:]:
-        whole = whole.unionByName(d)
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("via")))).alias("via")
-    return whole.where("src != dst").groupBy(*keys, "src", "dst").agg(F.min("seq").alias("seq"), F.bool_or("async").alias("async"), names)
+    pair = [*keys, "src", "dst"]
+    gone = tables.keep(collapsed.select(*keys, "node").distinct(), "collapsed")
+    at_gone = lambda c: gone.withColumnRenamed("node", c)
+    edges = tables.keep(edges.groupBy(*pair).agg(F.min("seq").alias("seq"), F.bool_or("async").alias("async")), "splice-edges")
+    inner = edges.join(at_gone("src"), [*keys, "src"], "left_semi")
+    late = edges.where("async").select(*keys, F.col("dst").alias("node")).join(gone, [*keys, "node"], "left_semi")
+    late = reachable(inner.join(at_gone("dst"), [*keys, "dst"], "left_semi"), late, keys).withColumns({"src": F.col("node"), "late": F.lit(True)}).drop("node")
+    inner = inner.join(late, [*keys, "src"], "left").select(*keys, F.col("src").alias("mid"), F.col("dst").alias("next"), (F.col("async") | F.coalesce("late", F.lit(False))).alias("later"))
+    inner = tables.keep(inner, "splice-inner")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("via"))))
+        return rows.groupBy(*pair).agg(F.min("seq").alias("seq"), F.bool_or("async").alias("async"), names.alias("via"))
+
+    start = edges.join(at_gone("src"), [*keys, "src"], "left_anti").withColumn("via", F.array().cast("array<string>"))
+    whole = start.join(at_gone("dst"), [*keys, "dst"], "left_anti").select(*pair, "seq", "async", "via")
+    state = front = tables.keep(start.join(at_gone("dst"), [*keys, "dst"], "left_semi").select(*pair, "seq", "async", "via"), "splice")
+    while not front.isEmpty():
+        ahead = front.withColumnRenamed("dst", "mid").join(inner, [*keys, "mid"])
+        ahead = ahead.select(*keys, "src", F.col("next").alias("dst"), "seq", (F.col("async") | F.col("later")).alias("async"), F.array_union("via", F.array(F.col("mid").cast("string"))).alias("via"))
+        new = merged(ahead.join(at_gone("dst"), [*keys, "dst"], "left_semi").select(*pair, "seq", "async", "via").unionByName(state))
+        new = tables.keep(new, "splice")
+        old = state.select(*pair, F.struct("seq", "async", F.size("via").alias("n")).alias("_old"))
+        same = F.coalesce(F.col("_old") == F.struct("seq", "async", F.size("via").alias("n")), F.lit(False))
+        front, state = tables.keep(new.join(old, pair, "left").where(~same).drop("_old"), "splice"), new
+    ends = state.withColumnRenamed("dst", "mid").join(inner, [*keys, "mid"])
+    ends = ends.select(*keys, "src", F.col("next").alias("dst"), "seq", (F.col("async") | F.col("later")).alias("async"), F.array_union("via", F.array(F.col("mid").cast("string"))).alias("via"))
+    return merged(whole.unionByName(ends.join(at_gone("dst"), [*keys, "dst"], "left_anti").select(*whole.columns)).where("src != dst"))
 
 
 _EFFECT = "struct<type:string,detail:string,topic:string,topic_expr:string,pos:string,async:boolean>"
@@ -144,6 +154,8 @@ class _Flow:
             if e["src"] in self.out and e["dst"] in self.out:
                 self.out[e["src"]][e["dst"]] = {k: e[k] for k in ("seq", "async", "kind", "label")}
                 self.into[e["dst"]][e["src"]] = None
+        #: Nodes that are reached async on some way.
+        self.late = {n for n in self.nodes if any(self.out[p][n]["async"] for p in self.into[n])}
         self.counts: dict[str, int] = {}
 
     def detach(self, node: str, rule: str) -> None:
@@ -175,7 +187,9 @@ class _Flow:
                     continue
                 edge = self.out[parent].setdefault(child, {"seq": 0, "async": False, "kind": None, "label": None})
                 self.into[child].setdefault(parent)
-                edge["async"] = edge["async"] or hop["async"] or way["async"]
+                edge["async"] = edge["async"] or hop["async"] or way["async"] or node in self.late
+                if edge["async"]:
+                    self.late.add(child)
                 edge["seq"] = min((s for s in (edge["seq"], hop["seq"]) if s), default=0)
                 if hop["kind"]:
                     edge["kind"], edge["label"] = hop["kind"], hop["label"]

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from flowloom.functions import text
+from flowloom.functions import predicates, text
 from flowloom.operators import documents, effects, entities, entrypoints, graph, guards, rules, values
 from flowloom.sources import facts
 from flowloom.sources.rules import parse_rules
@@ -212,22 +212,22 @@ def q09_id_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- graphs
 
 
-def _event_edges(spark: SparkSession, sf_dir: str, users: str = "user_id % 10 = 0") -> DataFrame:
+def _event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between the nodes (type.k) of a user's successive events; a cyclic graph."""
-    e = _t(spark, sf_dir, "events").where(users)
+    e = _t(spark, sf_dir, "events")
     node = F.concat_ws(".", "event_type", _k().cast("string"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(F.lag(node).over(w).alias("src"), node.alias("dst"), "event_id").where("src is not null")
 
 
 EDGES = f"""
-ev AS (SELECT user_id, event_id, event_type || '.' || {K} AS node, ts FROM events WHERE user_id % 10 = 0),
+ev AS (SELECT user_id, event_id, event_type || '.' || {K} AS node, ts FROM events),
 hops AS (SELECT lag(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, node AS dst, event_id FROM ev),
 edges AS (SELECT DISTINCT src, dst FROM hops WHERE src IS NOT NULL AND src <> dst)"""
 
 
 def _first_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").where("user_id % 10 = 0").select(F.min(F.concat_ws(".", "event_type", _k().cast("string"))).alias("node"))
+    return _t(spark, sf_dir, "events").select(F.min(F.concat_ws(".", "event_type", _k().cast("string"))).alias("node"))
 
 
 @query(f"""
@@ -239,19 +239,23 @@ def q10_reachable_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH RECURSIVE {EDGES}, reach(node, depth) AS (
-  SELECT min(node), 0 FROM ev UNION SELECT edges.dst, depth + 1 FROM reach JOIN edges ON edges.src = reach.node WHERE depth < 12)
+  SELECT min(node), 0 FROM ev UNION SELECT edges.dst, depth + 1 FROM reach JOIN edges ON edges.src = reach.node WHERE depth < 40)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY node""")
 def q11_bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bfs(_event_edges(spark, sf_dir).where("src != dst"), _first_node(spark, sf_dir), max_depth=12)
+    return graph.bfs(_event_edges(spark, sf_dir).where("src != dst"), _first_node(spark, sf_dir))
 
 
 @query("""
-SELECT l_partkey AS site, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_callees, CASE WHEN count(DISTINCT l_suppkey) > 1 THEN 'static-multi' ELSE 'static' END AS resolution
-FROM lineitem GROUP BY l_partkey""")
+WITH v AS (SELECT DISTINCT l_partkey AS site, l_suppkey AS callee FROM lineitem WHERE l_quantity > 25),
+c AS (SELECT DISTINCT l_partkey AS site, l_suppkey AS callee FROM lineitem WHERE l_partkey % 2 = 0 AND l_partkey NOT IN (SELECT site FROM v)),
+a AS (SELECT * FROM v UNION ALL SELECT * FROM c WHERE site IN (SELECT site FROM c GROUP BY site HAVING count(*) <= 5)),
+n AS (SELECT site, count(*) AS n FROM a GROUP BY site)
+SELECT s.site, coalesce(n, 0) AS n_callees, CASE WHEN n > 1 THEN 'static-multi' WHEN n = 1 THEN 'static' WHEN s.site % 2 = 0 THEN 'dynamic' END AS resolution
+FROM (SELECT DISTINCT l_partkey AS site FROM lineitem) s LEFT JOIN n ON n.site = s.site""")
 def q12_site_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("callee"))
-    sites = calls.select("site").distinct().withColumn("dynamic", F.lit(False))
-    found = graph.resolve_sites(sites, calls, calls.limit(0))
+    calls = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("callee"), "l_quantity")
+    sites = calls.select("site").distinct().withColumn("dynamic", F.col("site") % 2 == 0)
+    found = graph.resolve_sites(sites, calls.where("l_quantity > 25").drop("l_quantity"), calls.drop("l_quantity"))
     return found.groupBy("site").agg(F.count("callee").alias("n_callees"), F.first("resolution").alias("resolution"))
 
 
@@ -407,18 +411,19 @@ def q22_reaching_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT user_id AS owner_type, event_type AS field, CASE WHEN count(*) = 1 THEN min(event_id) END AS val_id FROM events WHERE {K} > 95 GROUP BY ALL""")
+SELECT user_id AS owner_type, event_type || {K} AS field, CASE WHEN count(*) = 1 THEN min(event_id) END AS val_id FROM events GROUP BY ALL""")
 def q23_single_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stores = _t(spark, sf_dir, "events").where(_k() > 95).select(F.col("user_id").alias("owner_type"), F.col("event_type").alias("field"), F.col("event_id").alias("val_id"))
+    stores = _t(spark, sf_dir, "events").select(F.col("user_id").alias("owner_type"), F.concat("event_type", _k().cast("string")).alias("field"), F.col("event_id").alias("val_id"))
     return values.field_stores(stores)
 
 
 @query(f"""
-WITH e AS (SELECT user_id, event_type, CASE WHEN {K} < 90 THEN CAST({K} // 45 AS VARCHAR) END AS part FROM events WHERE event_id % 4 = 0)
-SELECT user_id, event_type, CASE WHEN count(part) = count(*) AND min(part) = max(part) THEN min(part) END AS part FROM e GROUP BY ALL""")
+WITH e AS (SELECT user_id, event_type, {K} // 10 AS tens, CASE WHEN {K} < 90 THEN CAST({K} // 45 AS VARCHAR) END AS part FROM events)
+SELECT user_id, event_type, tens, CASE WHEN count(part) = count(*) AND min(part) = max(part) THEN min(part) END AS part FROM e GROUP BY ALL""")
 def q24_phi_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(_k() < 90, F.floor(_k() / 45).cast("string"))
-    return values.agreed(_t(spark, sf_dir, "events").where("event_id % 4 = 0").select("user_id", "event_type", part.alias("part")), ["user_id", "event_type"], "part")
+    tens = F.floor(_k() / 10).cast("int")
+    return values.agreed(_t(spark, sf_dir, "events").select("user_id", "event_type", tens.alias("tens"), part.alias("part")), ["user_id", "event_type", "tens"], "part")
 
 
 @query("""
@@ -437,15 +442,15 @@ _KEYS = "CASE p_size % 3 WHEN 0 THEN lower(p_type) WHEN 1 THEN lower(p_type) ||
 
 
 @query(f"""
-WITH k AS (SELECT DISTINCT {_KEYS} AS entity_key FROM part WHERE p_partkey % 7 > 0 OR p_size % 3 > 0
-  UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 50 = 0),
+WITH k AS (SELECT DISTINCT {_KEYS} AS entity_key FROM part
+  UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part),
 h AS (SELECT a.entity_key, b.entity_key AS head FROM k a JOIN k b ON starts_with(a.entity_key, b.entity_key || '_')),
 m AS (SELECT entity_key, arg_min(head, length(head)) AS base FROM h GROUP BY entity_key)
 SELECT k.entity_key, coalesce(base, k.entity_key) AS base FROM k LEFT JOIN m USING (entity_key)""")
 def q26_satellite_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
-    keys = part.where("p_partkey % 7 > 0 or p_size % 3 > 0").select(F.expr(_KEYS).alias("entity_key"))
-    return entities.satellite_bases(keys.union(part.where("p_partkey % 50 = 0").select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct())
+    keys = part.select(F.expr(_KEYS).alias("entity_key"))
+    return entities.satellite_bases(keys.union(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct())
 
 
 _FLOW_PATH = "CASE WHEN user_id % 4 = 0 THEN '/api/v1/' || event_type || 's/{id}' WHEN user_id % 4 = 1 THEN '/health' ELSE '' END"
@@ -538,12 +543,15 @@ def q31_resolve_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents)
-SELECT doc_id, strlen(s) > 4000 AS capped, CASE WHEN strlen(s) <= 4000 THEN md5(s) END AS digest, CASE WHEN strlen(s) <= 4000 THEN CAST(strlen(s) AS INTEGER) END AS bytes FROM c""")
+WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s, strlen(text) = length(text) AS ascii FROM documents),
+d AS (SELECT doc_id, strlen(s) > 4000 AS capped, CASE WHEN strlen(s) <= 4000 THEN s WHEN ascii THEN left(s, 3997) || '...' END AS s FROM c)
+SELECT doc_id, capped, md5(s) AS digest, CAST(strlen(s) AS INTEGER) AS bytes FROM d""")
 def q32_compact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "documents").select("doc_id", text.compact_query(F.col("text")).alias("s"), F.col("text"))
     capped = F.col("s").endswith("...") & (F.octet_length("text") > text.QUERY_BYTES)
-    return rows.select("doc_id", capped.alias("capped"), F.when(~capped, F.md5(F.col("s").cast("binary"))).alias("digest"), F.when(~capped, F.octet_length("s")).alias("bytes"))
+    # where a cut falls inside a character, SQL has no like of it
+    shown = ~capped | (F.octet_length("text") == F.length("text"))
+    return rows.select("doc_id", capped.alias("capped"), F.when(shown, F.md5(F.col("s").cast("binary"))).alias("digest"), F.when(shown, F.octet_length("s")).alias("bytes"))
 
 
 _SITE = [
@@ -665,3 +673,159 @@ def q40_contract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     by = guards.data_contract(fields, ["p_brand"])
     return by.select("p_brand", F.transform("fields", lambda x: F.concat_ws("|", x["name"], x["tag"], x["type"], x["rules"])).alias("fields"), "truncated")
+
+
+# ---------------------------------------------------------------- contraction, extraction, heuristics, values, choices
+
+
+@query("""
+WITH p AS (SELECT l_partkey, bool_or(l_quantity > 49 OR o_totalprice > 400000) AS late FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY l_partkey),
+d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+SELECT 'c' || o_custkey AS src, 's' || d.l_suppkey AS dst, CAST(min(o_orderkey) AS BIGINT) AS seq, bool_or(late) AS async,
+  list_sort(list_distinct(list_concat(list('o' || o_orderkey), list('p' || l.l_partkey)))) AS via
+FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN p ON p.l_partkey = l.l_partkey JOIN d ON d.l_partkey = l.l_partkey GROUP BY ALL""")
+def q41_splice_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer, order, part, supplier: two collapsed levels, diamonds, and parts that only some orders reach async."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    lines = _t(spark, sf_dir, "lineitem")
+    first = _t(spark, sf_dir, "orders").select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") > 400000).alias("async"))
+    second = lines.select(tag("o", "l_orderkey").alias("src"), tag("p", "l_partkey").alias("dst"), F.col("l_linenumber").cast("long").alias("seq"), (F.col("l_quantity") > 49).alias("async"))
+    third = lines.select(tag("p", "l_partkey").alias("src"), tag("s", "l_suppkey").alias("dst"), F.lit(1).cast("long").alias("seq"), F.lit(False).alias("async")).distinct()
+    collapsed = first.select(F.col("dst").alias("node")).union(second.select("dst")).distinct()
+    return rules.splice(first.unionByName(second).unionByName(third), collapsed)
+
+
+@query("""
+WITH a AS (SELECT DISTINCT o_custkey, o_orderkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+m AS (SELECT *, count(*) OVER (PARTITION BY o_orderkey) > 1 AS multi FROM a),
+b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+n AS (SELECT *, count(*) OVER (PARTITION BY l_partkey) > 1 AS multi FROM b),
+w AS (
+  SELECT o_custkey, 'c' || o_custkey AS node, 0 AS depth, false AS multi FROM (SELECT DISTINCT o_custkey FROM a)
+  UNION ALL SELECT o_custkey, 'p' || l_partkey, 1, multi FROM m
+  UNION ALL SELECT o_custkey, 's' || n.l_suppkey, 2, n.multi FROM m JOIN n ON n.l_partkey = m.l_partkey)
+SELECT 'f' || o_custkey AS flow_id, node, 'step' AS kind, CASE WHEN bool_or(multi) THEN 'static-multi' ELSE 'static' END AS resolution, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY o_custkey, node""")
+def q42_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow for each customer: its orders are call sites, their parts callees, whose suppliers are callees too."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    lines, orders = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders")
+    calls = lines.select(tag("o", "l_orderkey").alias("site"), tag("p", "l_partkey").alias("callee")).distinct()
+    calls = graph.callee_order(calls.unionByName(lines.select(tag("q", "l_partkey").alias("site"), tag("s", "l_suppkey").alias("callee")).distinct()), ["site"], "callee")
+    calls = calls.select("site", "callee", "callee_ord", F.when(F.col("n_callees") > 1, "static-multi").otherwise("static").alias("resolution"))
+    top = orders.select(tag("c", "o_custkey").alias("caller"), tag("o", "o_orderkey").alias("site"), F.col("o_orderkey").cast("int").alias("ord"))
+    low = lines.select(tag("p", "l_partkey").alias("caller"), tag("q", "l_partkey").alias("site"), F.lit(1).alias("ord")).distinct()
+    none = F.lit(None).cast("string")
+    sites = top.unionByName(low).select("caller", "site", "ord", F.col("ord").cast("long").alias("seq"), F.lit(False).alias("async"), F.lit(0).alias("block"), none.alias("effect"), none.alias("dynamic_name"))
+    functions = sites.select(F.col("caller").alias("fn_id")).union(calls.select("callee")).distinct().withColumn("visit", F.lit(True))
+    roots = orders.select(tag("f", "o_custkey").alias("flow_id"), tag("c", "o_custkey").alias("fn_id")).distinct()
+    nodes, _ = graph.extract(sites, calls, functions, roots)
+    return nodes.select("flow_id", "node", "kind", "resolution", "depth")
+
+
+#: Made-up function facts, by the number of a part: name, package, receiver, parent, parameter, results, counts.
+_FN = {
+    "short_name": "CASE p_partkey % 11 WHEN 0 THEN 'Infof' WHEN 1 THEN 'validateOrder' WHEN 2 THEN 'ToModel' WHEN 3 THEN 'writeJSON' WHEN 4 THEN 'NewStore' WHEN 5 THEN 'GetName' WHEN 6 THEN 'wrap' WHEN 7 THEN 'IsValid' WHEN 8 THEN 'Tolerate' WHEN 9 THEN 'makeProto' ELSE 'orderToDTO' END",
+    "pkg": "CASE p_partkey % 7 WHEN 0 THEN 'example.com/shop/logger' WHEN 1 THEN 'example.com/shop/config' WHEN 2 THEN 'github.com/prometheus/client' WHEN 3 THEN 'example.com/shop/metrics' WHEN 4 THEN 'go.uber.org/zap' ELSE 'example.com/shop/order' END",
+    "recv_type": "CASE p_size % 5 WHEN 0 THEN 'FileLogger' WHEN 1 THEN 'Timing' WHEN 2 THEN 'Store' END",
+    "parent_fn": "CASE WHEN p_size % 3 = 0 THEN 'outer' END",
+    "param": "CASE WHEN p_size % 4 < 2 THEN 'ResponseWriter' ELSE 'int' END",
+    "result": "CASE p_partkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'bool' WHEN 2 THEN 'Logger' WHEN 3 THEN 'Order' END",
+    "n_blocks": "CAST(1 + p_size % 4 AS INT)", "n_instrs": "CAST(p_size % 13 AS INT)", "n_calls": "CAST(p_partkey % 3 AS INT)", "n_control": "CAST(p_size % 2 AS INT)",
+    "n_invoke": "CAST(p_partkey % 2 AS INT)", "n_module_calls": "CAST(p_size % 3 AS INT)", "n_unknown_calls": "CAST(p_size % 2 AS INT)",
+    "call_pkg": "CASE p_partkey % 4 WHEN 0 THEN 'fmt' WHEN 1 THEN 'errors' ELSE 'example.com/shop/order' END",
+}
+_HEURISTIC_SQL = {
+    "logger-method": "short_name = 'Infof' AND (base IN ('logger', 'zap') OR lower(coalesce(recv_type, '')) LIKE '%log%')",
+    "logger-package": "base IN ('logger', 'zap')",
+    "logger-factory": "result = 'Logger'",
+    "metrics-tracing": "base = 'metrics' OR pkg LIKE 'github.com/prometheus/%' OR coalesce(recv_type, '') = 'Timing'",
+    "config-reader": "base = 'config'",
+    "validation-helper": "short_name IN ('validateOrder', 'IsValid') AND coalesce(result, '') IN ('error', 'bool')",
+    "trivial-wrapper": "n_blocks = 1 AND n_calls = 1 AND n_control = 0",
+    "dto-mapper": "short_name IN ('ToModel', 'orderToDTO') AND coalesce(result, 'error') <> 'error'",
+    "respond-helper": "short_name = 'writeJSON' AND param = 'ResponseWriter'",
+    "inline-closure": "parent_fn IS NOT NULL AND n_invoke = 0 AND n_module_calls <= 1",
+    "trivial-constructor": "short_name = 'NewStore' AND n_blocks = 1 AND coalesce(result, 'error') <> 'error' AND n_instrs <= 10 AND n_calls = 0",
+    "getter": "recv_type IS NOT NULL AND n_blocks = 1 AND n_instrs <= 8 AND n_calls = 0 AND short_name IN ('GetName', 'IsValid')",
+    "error-wrapper": "n_blocks <= 3 AND coalesce(result, '') = 'error' AND n_calls > 0 AND call_pkg IN ('fmt', 'errors') AND n_unknown_calls = 0",
+}
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey, {", ".join(f"{v} AS {k}" for k, v in _FN.items())} FROM part),
+g AS (SELECT *, regexp_extract(pkg, '[^/]*$') AS base FROM f)
+SELECT p_partkey, list_sort(list_filter([{", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _HEURISTIC_SQL.items())}], lambda x: x IS NOT NULL)) AS names FROM g""")
+def q43_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts_ = _t(spark, sf_dir, "part").select("p_partkey", *(F.expr(v).alias(k) for k, v in _FN.items()))
+    result = F.struct(F.when(F.col("result") == "Logger", "go.uber.org/zap").otherwise("").alias("pkg"), F.col("result").alias("type"), (F.col("result") == "error").alias("is_error"), (F.col("result") == "bool").alias("is_bool"))
+    facts_ = facts_.withColumns(
+        {
+            "results": F.when(F.col("result").isNotNull(), F.array(result)).otherwise(F.array().cast("array<struct<pkg:string,type:string,is_error:boolean,is_bool:boolean>>")),
+            "params": F.array(F.struct(F.when(F.col("param") == "int", "").otherwise("net/http").alias("pkg"), F.col("param").alias("type"))),
+            "recv_chain": F.array_compact(F.array("recv_type")), "has_recv": F.col("recv_type").isNotNull(), "call_pkgs": F.array("call_pkg"),
+        }
+    )
+    found = F.array(*(F.when(predicates.heuristic(name), name) for name in predicates.REGISTRY))
+    return facts_.select("p_partkey", F.array_sort(F.filter(found, lambda x: x.isNotNull())).alias("names"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, ts, CASE WHEN {K} < 40 THEN event_type || {K} END AS c FROM events),
+l AS (SELECT event_id, coalesce(c, lag(c, 1) OVER w, lag(c, 2) OVER w, lag(c, 3) OVER w, lag(c, 4) OVER w) AS text FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id AS value_id, text FROM l WHERE text IS NOT NULL""")
+def q44_constant_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events below 40 are constants; the others convert the event before, or load what its single store wrote."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", _k().alias("k"), "event_type", F.lag("event_id").over(w).alias("before"))
+    const, load = F.col("k") < 40, F.col("k") % 2 == 0
+    none = F.lit(None).cast("string")
+    defs = e.select(
+        F.col("event_id").alias("value_id"), F.when(const, "const").when(load, "load").otherwise("conversion").alias("kind"), F.when(load, -F.col("event_id")).otherwise(F.col("before")).alias("x"),
+        F.when(const, F.concat("event_type", F.col("k").cast("string"))).alias("text"), none.alias("owner_type"), none.alias("field"),
+    )
+    stores = e.where(~const & load & F.col("before").isNotNull()).select((-F.col("event_id")).alias("addr_id"), F.col("before").alias("val_id"), none.alias("owner_type"), none.alias("field"))
+    return values.constant_strings(defs, stores)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, ts, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS b FROM events),
+i AS (SELECT *, row_number() OVER (PARTITION BY user_id, b ORDER BY ts, event_id) AS i FROM e)
+SELECT l.event_id AS value_id, arg_max(s.event_id, s.b * 1000000 + s.i) AS val_id FROM i l JOIN i s ON s.user_id = l.user_id AND s.event_type = 'purchase' AND s.b BETWEEN l.b - 4 AND l.b AND (s.b < l.b OR s.i < l.i)
+WHERE l.event_type = 'error' GROUP BY l.event_id""")
+def q45_reaching_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a user are blocks in a line; purchases store, errors load."""
+    b = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    place = F.row_number().over(Window.partitionBy("user_id", "b").orderBy("ts", "event_id"))
+    e = _t(spark, sf_dir, "events").withColumn("b", b).select(F.col("user_id").alias("fn_id"), "b", place.alias("i"), "event_id", "event_type", F.col("user_id").alias("addr_id"))
+    loads = e.where("event_type = 'error'").withColumnRenamed("event_id", "value_id")
+    stores = e.where("event_type = 'purchase'").withColumnRenamed("event_id", "val_id")
+    blocks = e.select("fn_id", F.explode(F.sequence(F.col("b") - values.HOPS, F.col("b"))).alias("b")).distinct().withColumn("preds", F.array(F.col("b") - 1))
+    return values.reaching_stores(loads, stores, blocks)
+
+
+_EXIT = "CASE event_type WHEN 'error' THEN 'sentinel' WHEN 'signup' THEN 'message' ELSE 'unknown' END"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, {K} % 3 = 0 AS gate, {_EXIT} AS exit_kind FROM events),
+u AS (SELECT user_id, 1 + count(DISTINCT event_type) + user_id % 60 AS used FROM e GROUP BY user_id),
+s AS (SELECT *, CASE WHEN gate THEN 1 WHEN exit_kind = 'sentinel' THEN 4 ELSE 2 END AS score, CASE WHEN gate THEN 1 ELSE 2 END AS cost FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY score DESC, event_id) AS place FROM s),
+c AS (SELECT r.*, used, row_number() OVER (PARTITION BY r.user_id ORDER BY length(event_type), event_type, score DESC, event_id) AS i FROM r JOIN u ON u.user_id = r.user_id WHERE place <= 8),
+g(user_id, event_id, i, spent, fits) AS (
+  SELECT user_id, event_id, i, used + CASE WHEN used + cost <= 80 THEN cost ELSE 0 END, used + cost <= 80 FROM c WHERE i = 1
+  UNION ALL SELECT c.user_id, c.event_id, c.i, g.spent + CASE WHEN g.spent + c.cost <= 80 THEN c.cost ELSE 0 END, g.spent + c.cost <= 80 FROM g JOIN c ON c.user_id = g.user_id AND c.i = g.i + 1)
+SELECT g.user_id, event_type AS node, g.event_id AS decision FROM g JOIN e ON e.event_id = g.event_id WHERE fits""")
+def q46_choose_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users are flows, their event types steps, events decisions; some flows have many other nodes already."""
+    e = _t(spark, sf_dir, "events")
+    fn = F.concat_ws(".", F.col("user_id").cast("string"), "event_type")
+    none = F.lit(None).cast("string")
+    steps = e.select(F.col("user_id").alias("flow_id"), F.col("event_type").alias("node"), fn.alias("fn_id"), F.lit("step").alias("kind"), F.length("event_type").alias("depth"), F.lit(0).alias("bfs_ord"), none.alias("dropped_by")).distinct()
+    order = F.dense_rank().over(Window.partitionBy("flow_id").orderBy("depth", "node"))
+    others = e.select(F.col("user_id").alias("flow_id")).distinct().select("flow_id", F.explode(F.expr("CASE WHEN flow_id % 60 > 0 THEN sequence(1, int(flow_id % 60)) END")).alias("n"))
+    others = others.select("flow_id", F.col("n").cast("string").alias("node"), none.alias("fn_id"), F.lit("terminal").alias("kind"), F.lit(9).alias("depth"), F.lit(0).alias("bfs_ord"), none.alias("dropped_by"))
+    nodes = steps.withColumn("bfs_ord", order).unionByName(others)
+    found = e.select(fn.alias("fn_id"), F.col("event_id").alias("decision"), F.col("event_id").alias("order_pos"), (_k() % 3 == 0).alias("gate"), F.expr(_EXIT).alias("exit_kind"))
+    chosen, _ = guards.choose_decisions(nodes, found)
+    return chosen.select(F.col("flow_id").alias("user_id"), "node", "decision")

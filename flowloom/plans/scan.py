@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom import tables
-from flowloom.functions.text import collapsed_name, file_name
-from flowloom.operators import documents, effects, entities, graph, rules
+from flowloom.functions.text import collapsed_name, file_name, trim_module
+from flowloom.operators import documents, effects, entities, graph, guards, rules, values
 from flowloom.sources.rules import Rule, default_rules
 
 
-def flow_documents(entrypoints: DataFrame, sites: DataFrame, callees: DataFrame, functions: DataFrame, module: str, ruleset: list[Rule] | None = None) -> DataFrame:
+def flow_documents(entrypoints: DataFrame, sites: DataFrame, callees: DataFrame, functions: DataFrame, module: str, ruleset: list[Rule] | None = None, outcomes: DataFrame | None = None, responses: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """flow_id, doc and file of all entrypoints (id, kind, method, path, topic, fn_id).
 
     sites: caller, site, ord, seq, async, block, pos, dynamic_name and what effects.detect reads; callees: site, callee,
-    callee_ord, resolution; functions: fn_id, display_name, pos_text, returns, visit, file_class and what the heuristics read.
+    callee_ord, resolution; functions: fn_id, display_name, pos_text, returns, visit, file_class and what the heuristics read. Not needed: outcomes (fn_id, ord, text: what
+    functions fail with), responses (fn_id, ord, status), and overrides (key, label: names for functions that end with a key).
     """
+    spark = functions.sparkSession
+    if overrides is not None:
+        functions = documents.label_overrides(functions, "display_name", overrides).withColumn("display_name", F.coalesce("label", "display_name")).drop("label")
+    exits = spark.createDataFrame([], "fn_id string, exits array<string>") if outcomes is None else values.error_exits(outcomes, ["fn_id"])
+    success = spark.createDataFrame([], "fn_id string, success string") if responses is None else guards.success_response(responses)
+    said = tables.keep(functions.select("fn_id").join(exits, "fn_id", "left").join(success, "fn_id", "left"), "outcomes").withColumnRenamed("fn_id", "node")
     found = tables.keep(effects.detect(sites), "detected")
     roots = entrypoints.select(F.col("id").alias("flow_id"), "fn_id")
     nodes, edges = graph.extract(found.withColumn("effect", F.to_json("effect")), callees, functions.select("fn_id", "visit"), roots)
@@ -30,7 +37,7 @@ def flow_documents(entrypoints: DataFrame, sites: DataFrame, callees: DataFrame,
     whole = whole.withColumns(
         {
             "name": F.coalesce("display_name", "node"), "has_effects": has, "kept": has | (F.col("resolution") == "dynamic") | (F.col("depth") == 0), "dropped_by": graph.class_mark(F.col("file_class")), "gate": F.lit(False),
-            "inline_name": F.coalesce(collapsed_name(F.col("pkg"), F.col("short_name")), F.col("node")),
+            "inline_name": F.coalesce(collapsed_name(F.col("pkg"), F.col("short_name")), trim_module(F.coalesce("display_name", "node"), F.lit(module))),
         }
     )
     ordered = edges.withColumns({"ord": F.col("seq").cast("int"), "kind": F.lit(None).cast("string"), "label": F.lit(None).cast("string"), "seq": F.col("seq").cast("long")})
@@ -41,16 +48,16 @@ def flow_documents(entrypoints: DataFrame, sites: DataFrame, callees: DataFrame,
     ways = pruned.select("flow_id", F.explode("edges").alias("e")).select("flow_id", "e.*").withColumnRenamed("ord", "out_ord")
     roots = roots.select("flow_id", F.col("fn_id").alias("node"))
     ids = tables.keep(documents.node_ids(ways, roots, ["flow_id"]), "ids")
-    described = left.join(ids, ["flow_id", "node"]).join(whole.select("flow_id", "node", "name", "pkg", "pos_text", "kind", "resolution", "returns"), ["flow_id", "node"])
-    body = described.where("bfs_ord > 0").select("flow_id", "id", F.col("bfs_ord").alias("ord"), "name", F.coalesce("pkg", F.lit("")).alias("pkg"), F.col("pos_text").alias("pos"), "kind", "resolution", F.lit(False).alias("async"), "collapsed", "effects", F.array().cast("array<string>").alias("error_exits"), "returns")
+    described = left.join(ids, ["flow_id", "node"]).join(whole.select("flow_id", "node", "name", "pkg", "pos_text", "kind", "resolution", "returns"), ["flow_id", "node"]).join(said, "node", "left")
+    none = F.array().cast("array<string>")
+    body = described.where("bfs_ord > 0").select("flow_id", "id", F.col("bfs_ord").alias("ord"), "name", F.coalesce("pkg", F.lit("")).alias("pkg"), F.col("pos_text").alias("pos"), "kind", "resolution", F.lit(False).alias("async"), "collapsed", "effects", F.coalesce("exits", none).alias("error_exits"), "returns")
     to = ids.select("flow_id", F.col("node").alias("dst"), F.col("id").alias("to_id"))
     place = F.struct("bfs_ord", documents.source_order(F.col("seq"), F.col("out_ord")))
     lines = ways.join(ids.select("flow_id", F.col("node").alias("src"), F.col("id").alias("from_id"), "bfs_ord"), ["flow_id", "src"]).join(to, ["flow_id", "dst"]).select("flow_id", place.alias("ord"), "from_id", "to_id", "async", "kind", "label")
     counts = pruned.select("flow_id", F.explode("dropped").alias("dropped_by", "n"))
     raw = nodes.groupBy("flow_id").agg(F.count_if(F.col("depth") > 0).cast("int").alias("raw_nodes"))
-    own = described.where("bfs_ord = 0").select("flow_id", F.col("name").alias("func"), F.col("pos_text").alias("flow_pos"), F.col("effects").alias("flow_effects"), F.col("returns").alias("flow_returns"))
+    own = described.where("bfs_ord = 0").select("flow_id", F.col("name").alias("func"), F.col("pos_text").alias("flow_pos"), F.col("effects").alias("flow_effects"), F.col("returns").alias("flow_returns"), F.coalesce("exits", none).alias("flow_exits"), "success")
     flows = entrypoints.select(F.col("id").alias("flow_id"), F.col("kind").alias("flow_kind"), "method", "path", "topic").join(own, "flow_id").join(raw, "flow_id")
-    flows = flows.withColumns({"flow_exits": F.array().cast("array<string>"), "success": F.lit(None).cast("string")})
     return documents.flow_documents(flows, body, lines, counts, module)
 
 

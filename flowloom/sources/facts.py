@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from flowloom import tables
 from flowloom.functions.predicates import LEVELS, LOGGERS
 from flowloom.functions.text import base_name, file_class
 
@@ -65,12 +66,13 @@ def generated_ratio(classes: DataFrame) -> DataFrame:
     return row.withColumn("pct", pct).withColumn("warn", F.col("generated") * 2 > F.col("total"))
 
 
-def receiver_chains(functions: DataFrame, hops: int = 8) -> DataFrame:
-    """functions with recv_chain: receiver types of the function and of those it is nested in."""
+def receiver_chains(functions: DataFrame) -> DataFrame:
+    """functions with recv_chain: receiver types of the function and of those it is nested in, up to the outermost."""
     up = functions.select(F.col("fn_id").alias("_at"), F.col("parent_fn").alias("_next"), F.col("recv_type").alias("_recv"))
     rows = functions.withColumn("recv_chain", F.array_compact(F.array("recv_type"))).withColumn("_p", F.col("parent_fn"))
-    for _ in range(hops):
+    while not rows.where("_p is not null").isEmpty():
         rows = rows.join(up, rows["_p"] == up["_at"], "left").withColumn("recv_chain", F.array_compact(F.array_append("recv_chain", F.col("_recv")))).withColumn("_p", F.col("_next")).drop("_at", "_next", "_recv")
+        rows = tables.keep(rows, "receivers")
     return rows.drop("_p")
 
 

@@ -1,7 +1,7 @@
 """Tables that several stages read again, kept where every executor sees them.
 
 The folder is the one the session names in ``spark.checkpoint.dir``. Only when that is
-unset (a local session, as in tests) a temporary folder is made and set. Files are written
+unset in a local session, as in tests, a temporary folder is made and set; a cluster has to name one. Files are written
 and read by Spark alone, so losing an executor loses nothing. What a process has kept is deleted
 when it ends, or earlier by :func:`forget`.
 """
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     there = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if not there:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='flowloom-')}"
         spark.conf.set(SETTING, there)
         spark.sparkContext.setCheckpointDir(there)
@@ -81,9 +83,19 @@ def _forget_all() -> None:
             system.delete(target, True)
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else ``df`` as it is.
+#: Most bytes of a table that is broadcast.
+BROADCAST_BYTES = 32 << 20
 
-    ``df`` should be cheap to count, such as a table from :func:`keep`, and have short rows.
+
+def small(df: DataFrame, rows: int = 100_000, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and about ``most`` bytes, else ``df`` as it is.
+
+    ``df`` should be cheap to count, such as a table from :func:`keep`. Texts and arrays are measured, each as the text that
+    shows it; other columns count as 8 bytes, and a row as 16 more.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = [f"`{f.name}`" for f in df.schema.fields if f.dataType.simpleString().startswith(("string", "binary", "array", "struct", "map"))]
+    size = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for c in wide:
+        size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most else df

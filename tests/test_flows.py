@@ -176,3 +176,34 @@ def test_type_flow_beyond_its_rounds_falls_back_with_a_warning(spark):
     calls, algo, warnings = graph.build_call_graph(coarse, lambda: graph.type_flow(flows, seeds, max_rounds=2), coarse, algo="vta")
     assert calls is coarse and algo == "cha" and "RuntimeError" in warnings[0]
     assert graph.type_flow(flows, seeds, max_rounds=4).count() == 4
+
+
+def test_a_node_reached_async_makes_all_its_ways_async(spark):
+    _, left, edges, *_ = run(spark, "r-a r-b a-w1 b-w1 w1-c c-e", effects="e", asyncs=("a-w1",))
+    assert left == ["r", "a", "b", "c", "e"] and edges["a", "c"]["async"] and edges["b", "c"]["async"] and not edges["r", "b"]["async"]
+    nodes, edges = flow(spark, "r-a r-b a-w1 b-w1 w1-w2 w2-c b-w3 w3-c b-d", asyncs=("a-w1",))
+    got = {(r.src, r.dst): (r["async"], r.via) for r in rules.splice(edges, nodes.where("node like 'w%'").select("flow_id", "node"), ["flow_id"]).collect()}
+    assert got == {("r", "a"): (False, []), ("r", "b"): (False, []), ("a", "c"): (True, ["w1", "w2"]), ("b", "c"): (True, ["w1", "w2", "w3"]), ("b", "d"): (False, [])}
+
+
+def test_contraction_keeps_one_row_for_each_pair(spark):
+    """Nine layers of two collapsed nodes: 512 ways, one edge."""
+    layers = [["r"], *[[f"w{i}a", f"w{i}b"] for i in range(9)], ["z"]]
+    pairs = " ".join(f"{x}-{y}" for a, b in zip(layers, layers[1:]) for x in a for y in b)
+    nodes, edges = flow(spark, pairs)
+    (row,) = rules.splice(edges, nodes.where("node like 'w%'").select("flow_id", "node"), ["flow_id"]).collect()
+    assert (row.src, row.dst, row.seq, len(row.via)) == ("r", "z", 1, 18)
+
+
+def test_extraction_stops_at_the_node_limit(spark):
+    calls = [("r", "a"), ("r", "b"), ("a", "c"), ("b", "d"), ("b", "e"), ("c", "f"), ("d", "g"), ("f", "h")]
+    none = None
+    sites = spark.createDataFrame([(x, f"{x}{y}", i, i, False, 0, none, none) for i, (x, y) in enumerate(calls)], "caller string, site string, ord int, seq long, async boolean, block int, effect string, dynamic_name string")
+    callees = spark.createDataFrame([(f"{x}{y}", y, 1, "static") for x, y in calls], "site string, callee string, callee_ord int, resolution string")
+    fns = spark.createDataFrame([(x, True) for x in "rabcdefgh"], "fn_id string, visit boolean")
+    roots = spark.createDataFrame([("f1", "r")], "flow_id string, fn_id string")
+    nodes, edges = graph.extract(sites, callees, fns, roots, max_nodes=3)
+    assert {r.node: r.resolution for r in nodes.collect()} == {"r": "static", "a": "static", "b": "truncated", "c": "truncated"}
+    assert {(r.src, r.dst) for r in edges.collect()} == {("r", "a"), ("r", "b"), ("a", "c")}
+    nodes, edges = graph.extract(sites, callees, fns, roots)
+    assert nodes.count() == 9 and edges.count() == 8
