@@ -243,8 +243,12 @@ class Window:
 
     def push(self, part: str) -> list[int]:
         """Take more text; returns the ids that became certain."""
-        out: list[int] = []
         step = self.lattice.window
+        if len(self.text) + len(part) < 3 * step:  # too short for a commit
+            self.text += part
+            self.lattice.advance(self.text, self.last, self.size, self.score)
+            return []
+        out: list[int] = []
         for i in range(0, len(part), step):
             self.text += part[i : i + step]
             self.lattice.advance(self.text, self.last, self.size, self.score)
@@ -268,12 +272,14 @@ class Window:
         return alive.pop()
 
     def _ids(self, boundary: int) -> list[int]:
-        path, at = [], boundary
+        path, at, last, size = [], boundary, self.last, self.size
+        self.commits += boundary > 0
         while at > 0:
-            path.append((at - self.size[at], self.last[at]))
-            at -= self.size[at]
-        self.commits += bool(path)
-        return self.lattice.vocabulary.written(self.text, reversed(path))
+            n = size[at]
+            path.append((at - n, last[at]))
+            at -= n
+        path.reverse()
+        return self.lattice.vocabulary.written(self.text, path)
 
     def _commit(self, boundary: int) -> list[int]:
         ids = self._ids(boundary)
@@ -366,7 +372,8 @@ class Tokenizer:
         for span in sorted(set(spans).difference(known)):
             found = older.get(span)
             if found is None:
-                found = array("i", window.push(window.rewind(span)) + window.close()).tobytes()
+                sure = window.push(window.rewind(span))
+                found = array("i", sure + window.close() if sure else window.close()).tobytes()
             (known if len(span) <= REMEMBERED_LENGTH else once)[span] = found
         return known | once if once else known
 
