@@ -680,17 +680,17 @@ def q40_contract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT l_partkey, bool_or(l_quantity > 49 OR o_totalprice > 400000) AS late FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY l_partkey),
-d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
-SELECT 'c' || o_custkey AS src, 's' || d.l_suppkey AS dst, CAST(min(o_orderkey) AS BIGINT) AS seq, bool_or(late) AS async,
+d AS (SELECT p_partkey, p_brand FROM part)
+SELECT 'c' || o_custkey AS src, p_brand AS dst, CAST(min(o_orderkey) AS BIGINT) AS seq, bool_or(late) AS async,
   list_sort(list_distinct(list_concat(list('o' || o_orderkey), list('p' || l.l_partkey)))) AS via
-FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN p ON p.l_partkey = l.l_partkey JOIN d ON d.l_partkey = l.l_partkey GROUP BY ALL""")
+FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN p ON p.l_partkey = l.l_partkey JOIN d ON d.p_partkey = l.l_partkey GROUP BY ALL""")
 def q41_splice_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer, order, part, supplier: two collapsed levels, diamonds, and parts that only some orders reach async."""
+    """Customer, order, part, brand: two collapsed levels, diamonds, and parts that only some orders reach async."""
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     lines = _t(spark, sf_dir, "lineitem")
     first = _t(spark, sf_dir, "orders").select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") > 400000).alias("async"))
     second = lines.select(tag("o", "l_orderkey").alias("src"), tag("p", "l_partkey").alias("dst"), F.col("l_linenumber").cast("long").alias("seq"), (F.col("l_quantity") > 49).alias("async"))
-    third = lines.select(tag("p", "l_partkey").alias("src"), tag("s", "l_suppkey").alias("dst"), F.lit(1).cast("long").alias("seq"), F.lit(False).alias("async")).distinct()
+    third = _t(spark, sf_dir, "part").select(tag("p", "p_partkey").alias("src"), F.col("p_brand").alias("dst"), F.lit(1).cast("long").alias("seq"), F.lit(False).alias("async"))
     collapsed = first.select(F.col("dst").alias("node")).union(second.select("dst")).distinct()
     return rules.splice(first.unionByName(second).unionByName(third), collapsed)
 
@@ -698,22 +698,23 @@ def q41_splice_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH a AS (SELECT DISTINCT o_custkey, o_orderkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 m AS (SELECT *, count(*) OVER (PARTITION BY o_orderkey) > 1 AS multi FROM a),
-b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
-n AS (SELECT *, count(*) OVER (PARTITION BY l_partkey) > 1 AS multi FROM b),
+n AS (SELECT p_partkey, p_brand AS callee, p_size % 2 = 0 AS multi FROM part UNION ALL SELECT p_partkey, p_type, true FROM part WHERE p_size % 2 = 0),
 w AS (
   SELECT o_custkey, 'c' || o_custkey AS node, 0 AS depth, false AS multi FROM (SELECT DISTINCT o_custkey FROM a)
   UNION ALL SELECT o_custkey, 'p' || l_partkey, 1, multi FROM m
-  UNION ALL SELECT o_custkey, 's' || n.l_suppkey, 2, n.multi FROM m JOIN n ON n.l_partkey = m.l_partkey)
+  UNION ALL SELECT o_custkey, callee, 2, n.multi FROM m JOIN n ON n.p_partkey = m.l_partkey)
 SELECT 'f' || o_custkey AS flow_id, node, 'step' AS kind, CASE WHEN bool_or(multi) THEN 'static-multi' ELSE 'static' END AS resolution, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY o_custkey, node""")
 def q42_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flow for each customer: its orders are call sites, their parts callees, whose suppliers are callees too."""
+    """A flow for each customer: its orders are call sites, their parts callees, whose brands (and types, for even sizes) are callees too."""
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     lines, orders = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders")
     calls = lines.select(tag("o", "l_orderkey").alias("site"), tag("p", "l_partkey").alias("callee")).distinct()
-    calls = graph.callee_order(calls.unionByName(lines.select(tag("q", "l_partkey").alias("site"), tag("s", "l_suppkey").alias("callee")).distinct()), ["site"], "callee")
+    part = _t(spark, sf_dir, "part")
+    own = F.expr("CASE WHEN p_size % 2 = 0 THEN array(p_brand, p_type) ELSE array(p_brand) END")
+    calls = graph.callee_order(calls.unionByName(part.select(tag("q", "p_partkey").alias("site"), F.explode(own).alias("callee"))), ["site"], "callee")
     calls = calls.select("site", "callee", "callee_ord", F.when(F.col("n_callees") > 1, "static-multi").otherwise("static").alias("resolution"))
     top = orders.select(tag("c", "o_custkey").alias("caller"), tag("o", "o_orderkey").alias("site"), F.col("o_orderkey").cast("int").alias("ord"))
-    low = lines.select(tag("p", "l_partkey").alias("caller"), tag("q", "l_partkey").alias("site"), F.lit(1).alias("ord")).distinct()
+    low = part.select(tag("p", "p_partkey").alias("caller"), tag("q", "p_partkey").alias("site"), F.lit(1).alias("ord"))
     none = F.lit(None).cast("string")
     sites = top.unionByName(low).select("caller", "site", "ord", F.col("ord").cast("long").alias("seq"), F.lit(False).alias("async"), F.lit(0).alias("block"), none.alias("effect"), none.alias("dynamic_name"))
     functions = sites.select(F.col("caller").alias("fn_id")).union(calls.select("callee")).distinct().withColumn("visit", F.lit(True))
