@@ -133,6 +133,37 @@ def fold_chain(links: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return done.unionByName(now.drop("at").withColumn("resolved", F.lit(False)))
 
 
+def gorilla_links(calls: DataFrame, moves: DataFrame) -> DataFrame:
+    """Links for :func:`fold_chain` of router and route values.
+
+    calls: at (the call's value), next (its receiver), callee_pkg, callee_name, args; moves: at, next, for values that are
+    another one (loads, conversions, parameters with one caller). A new router, and whatever is no call of the library, ends a chain.
+    """
+    name = _s("callee_name")
+    kind = F.when(name.isin("Path", "PathPrefix"), "prefix").when(name == "Methods", "methods").when(name.isin(GORILLA_PLAIN), "plain").otherwise("unknown")
+    text = F.when(kind == "prefix", _arg(0)["text"]).when(kind == "methods", F.nullif(F.array_join(_arg(0)["texts"], ","), F.lit("")))
+    rows = calls.where((_s("callee_pkg") == GORILLA) & (name != "NewRouter")).select("at", "next", kind.alias("kind"), text.alias("text"))
+    return rows.unionByName(moves.select("at", "next", F.lit("plain").alias("kind"), F.lit(None).cast("string").alias("text")))
+
+
+def fiber_links(calls: DataFrame, moves: DataFrame, callbacks: DataFrame) -> DataFrame:
+    """Links of router values: groups and routes give a prefix (nothing if it is not constant), other calls hand back their router.
+
+    calls and moves as for :func:`gorilla_links`; callbacks: at (the router parameter of a callback), next (the receiver of
+    the call that registers it), text (its prefix).
+    """
+    group = _s("callee_name").isin("Group", "Route")
+    prefix = F.when(group, F.coalesce(_arg(0)["text"], F.lit("")))
+    rows = calls.where(strip_version(_s("callee_pkg")) == FIBER).select("at", "next", F.when(group, "prefix").otherwise("plain").alias("kind"), prefix.alias("text"))
+    rows = rows.unionByName(moves.select("at", "next", F.lit("plain").alias("kind"), F.lit(None).cast("string").alias("text")))
+    return rows.unionByName(callbacks.select("at", "next", F.lit("prefix").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+def fiber_prefixes(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """site and the prefix of its receiver (starts: site, at): what its groups give, outermost first, within FIBER_HOPS links."""
+    return fold_chain(links, starts, FIBER_HOPS).select("site", F.col("path").alias("prefix"))
+
+
 def gorilla_matches(sites: DataFrame, chains: DataFrame, forward: DataFrame) -> DataFrame:
     """gorilla registrations; chains: as of fold_chain, forward: site and methods set after the handler."""
     name, kind = _s("callee_name"), _s("callee_type")

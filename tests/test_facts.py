@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from flowloom.operators import effects, entities, entrypoints, guards, values
+from flowloom.operators import effects, entities, entrypoints, graph, guards, values
 from flowloom.plans import scan
 
 
@@ -198,3 +198,64 @@ def test_forward_methods_and_bindings(spark):
     assert {r.site: r.methods for r in entrypoints.forward_methods(starts, uses).collect()} == {"s": "GET", "t": "PUT"}
     bindings = spark.createDataFrame([("v", "a"), ("w", "b"), ("w", "c")], "free_var string, bound string")
     assert [tuple(r) for r in entrypoints.closure_bindings(bindings).collect()] == [("v", "a")]
+
+
+_CALL = "at string, next string, callee_pkg string, callee_name string, args array<" + entrypoints.ARG + ">"
+
+
+def test_router_chains(spark):
+    """Prefixes and methods of chains of groups, subrouters and builders."""
+    arg = lambda text=None, texts=None: [(text, texts, None, None, None, None)]
+    mux, fiber = entrypoints.GORILLA, "github.com/gofiber/fiber/v2"
+    calls = spark.createDataFrame(
+        [
+            ("r", None, mux, "NewRouter", []), ("p", "r", mux, "PathPrefix", arg("/api")), ("s", "p", mux, "Subrouter", []), ("m", "s", mux, "Methods", arg(None, ["GET", "PUT"])), ("n", "m", mux, "Name", arg("x")),
+            ("d", "s", mux, "Path", arg()), ("u", "s", mux, "Walk", []),
+        ],
+        _CALL,
+    )
+    moves = spark.createDataFrame([("v", "n"), ("loop", "loop")], "at string, next string")
+    starts = spark.createDataFrame([(x, x) for x in ("v", "s", "r", "d", "u", "loop", "else")], "site string, at string")
+    got = {r.site: (r.path, r.methods, r.resolved) for r in entrypoints.fold_chain(entrypoints.gorilla_links(calls, moves), starts, entrypoints.GORILLA_HOPS).collect()}
+    assert got["v"] == ("/api", "GET,PUT", True) and got["s"] == ("/api", None, True) and got["r"] == got["else"] == ("", None, True)
+    assert not got["d"][2] and not got["u"][2] and not got["loop"][2]
+    calls = spark.createDataFrame([("app", None, fiber, "New", []), ("g", "app", fiber, "Group", arg("/api")), ("h", "g2", fiber, "Get", arg("/x")), ("w", "h", fiber, "Group", arg("/v1")), ("q", "g", fiber, "Group", arg())], _CALL)
+    moves = spark.createDataFrame([("g2", "g")], "at string, next string")
+    callbacks = spark.createDataFrame([("param", "w", "/admin")], "at string, next string, text string")
+    starts = spark.createDataFrame([(x, x) for x in ("app", "g", "w", "q", "param", "else")], "site string, at string")
+    got = {r.site: r.prefix for r in entrypoints.fiber_prefixes(entrypoints.fiber_links(calls, moves, callbacks), starts).collect()}
+    assert got == {"app": "", "g": "/api", "w": "/api/v1", "q": "/api", "param": "/api/v1/admin", "else": ""}
+
+
+def test_canonical_functions_and_skipped_sites(spark):
+    rows = spark.createDataFrame([("f", None, None), ("g[int]", "g", None), ("w", "g", "h")], "fn_id string, origin_fn string, declared_fn string")
+    assert {r.fn_id: r.canonical for r in graph.canonical(rows).collect()} == {"f": "f", "g[int]": "g", "w": "h"}
+    sites = spark.createDataFrame([("builtin", None, "len"), ("invoke", None, "error"), ("invoke", "m/x", "error"), ("static", "m", "T")], "mode string, pkg string, type string")
+    assert [r.s for r in sites.select(graph.skipped_site(F.col("mode"), F.col("pkg"), F.col("type")).alias("s")).collect()] == [True, True, False, False]
+
+
+def test_documents_hold_outcomes_and_names(spark):
+    """The example with what its functions fail with, a success, and a name from the settings."""
+    import json
+
+    from flowloom.plans import scan
+
+    given = {}
+    real = scan.flow_documents
+
+    def with_more(entry, sites, callees, functions, module):
+        outcomes = spark.createDataFrame([("c", 2, "ErrB"), ("c", 1, "ErrA"), ("c", 3, "ErrA"), ("h", 1, "ErrH")], "fn_id string, ord int, text string")
+        responses = spark.createDataFrame([("h", 1, 500), ("h", 2, 201), ("h", 3, 204)], "fn_id string, ord int, status int")
+        overrides = spark.createDataFrame([("order.Create", "Make an order")], "key string, label string")
+        given["docs"] = real(entry, sites, callees, functions, module, outcomes=outcomes, responses=responses, overrides=overrides)
+        return given["docs"]
+
+    scan.flow_documents = with_more
+    try:
+        docs, _ = scan.example(spark)
+    finally:
+        scan.flow_documents = real
+    doc = json.loads(docs.first().doc)
+    assert doc["entrypoint"]["success"] == "201 Created" and doc["entrypoint"]["error_exits"] == ["ErrH"]
+    made = [n for n in doc["nodes"] if n["func"] == "Make an order"]
+    assert made and made[0]["error_exits"] == ["ErrA", "ErrB"]
