@@ -1,13 +1,16 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph pieces.
+"""Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A paragraph (line) is cut after every word whose hash is divisible by ``PIECE``, so that an edit
-changes the pieces it touches only. Each piece, with the number of its earlier occurrences in
-the text, is a key; a sketch adds count, key and check of every key to one cell in each of
-three parts. Subtracting two sketches leaves the keys that differ, and peeling cells that hold
-one key recovers them. Where peeling fails, both texts are sketched again with ``GROW`` times
-the cells, until it ends. The fingerprint is the sketch with ``CELLS`` cells, in base64.
+A paragraph is a line with a word. Its digest, with the number of its earlier occurrences in the
+text, is a key; a sketch adds count, key and check of every key to one cell in each of three
+parts. Subtracting the sketches of two versions leaves the paragraphs that differ, and peeling cells that
+hold one key recovers their digests. Where peeling fails, both texts are sketched again with ``GROW``
+times the cells, until it ends.
 
-Likeness is the Jaccard similarity of the two sets of keys, from the recovered differences.
+Paragraphs that differ are looked at once more: each is cut after every word whose hash is divisible by
+``PIECE``, so that an edit changes the pieces it touches only, and the pieces are sketched, subtracted and
+peeled in the same way. Likeness is the Jaccard similarity of the two multisets of pieces; pieces of paragraphs that
+both texts have are common to both. The fingerprint is the sketches of all paragraphs and of all
+pieces with ``CELLS`` cells each, in base64, with a dot between.
 
 Versions are compared with their neighbour in descending order of id (after the last, the
 first). Ids are cut into ranges at approximate quantiles, and the largest id of each range is
@@ -41,25 +44,71 @@ _NO_ID = -(1 << 63)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all texts, and the number of the text of each; sorted by text."""
-    words = Words(texts)
-    if not len(words.hash):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    line = np.searchsorted(np.flatnonzero(words.buffer == 10), words.start)
-    ends = np.append((line[1:] != line[:-1]), True) | (words.hash % np.uint64(PIECE) == 0)
+def _numbered(digest: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Keys of digests: each with the number of equal ones before it in its group."""
+    order = np.lexsort((digest, group))
+    d, g = digest[order], group[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]))[: len(d)]
+    first = np.flatnonzero(new)
+    nth = np.arange(len(d)) - np.repeat(first, np.diff(np.append(first, len(d))))
+    keys = np.empty(len(d), np.uint64)
+    with np.errstate(over="ignore"):
+        keys[order] = mix(d + nth.astype(np.uint64) * _SALT)
+    return keys
+
+
+class Keys:
+    """Paragraphs and pieces of some texts, in their order.
+
+    key, text: of each paragraph; piece: digest of each piece; piece_at: the first piece of each paragraph, and
+    the number of all; size: pieces of each text.
+    """
+
+    def __init__(self, texts: list[bytes]) -> None:
+        words = Words(texts)
+        line = np.searchsorted(np.flatnonzero(words.buffer == 10), words.start)
+        last = np.append(line[1:] != line[:-1], True)[: len(line)]
+        cut = last | (words.hash % np.uint64(PIECE) == 0)
+        first, digest = _runs(words.hash, last)
+        self.text = words.text[first]
+        self.key = _numbered(digest, self.text)
+        at, self.piece = _runs(words.hash, cut)
+        self.piece_at = np.append(np.searchsorted(at, first), len(at))
+        self.size = np.bincount(words.text[at], minlength=len(texts))
+
+    def of(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The paragraphs of the picked texts, and which pick each belongs to."""
+        return _spread(np.searchsorted(self.text, picked), np.searchsorted(self.text, picked, side="right"))
+
+    def pieces(self, paragraphs: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all pieces of paragraphs, and the pair of each."""
+        at, nth = _spread(self.piece_at[paragraphs], self.piece_at[paragraphs + 1])
+        return _numbered(self.piece[at], pair[nth]), pair[nth]
+
+    def fingerprints(self, n: int) -> list[str]:
+        """The fingerprints of the first n texts."""
+        paragraphs, text = self.of(np.arange(n))
+        both = Sketches(n, CELLS).add(self.key[paragraphs], text).strings(), Sketches(n, CELLS).add(*self.pieces(paragraphs, text)).strings()
+        return [f"{a}.{b}" for a, b in zip(*both, strict=True)]
+
+
+def _runs(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first word and the digest of each run of words that an end closes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
+    size = np.diff(np.append(first, len(hashes)))
+    within = np.arange(len(hashes)) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        size = np.diff(np.append(first, len(ends)))
-        within = np.arange(len(ends)) - np.repeat(first, size)
         powers = np.cumprod(np.full(int(size.max()), _SALT))
-        digest = mix(np.add.reduceat(words.hash * powers[within], first) + size.astype(np.uint64))
-        text = words.text[first]
-        order = np.lexsort((digest, text))
-        digest, text = digest[order], text[order]
-        new = np.append(True, (digest[1:] != digest[:-1]) | (text[1:] != text[:-1]))
-        nth = np.arange(len(new)) - np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(new))))
-        return mix(digest + nth.astype(np.uint64) * _SALT), text
+        return first, mix(np.add.reduceat(hashes * powers[within], first) + size.astype(np.uint64))
+
+
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from begin[i] to end[i], and the i of each."""
+    size = end - begin
+    at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]])[: len(size)], size) + np.arange(size.sum())
+    return at.astype(np.int64), np.repeat(np.arange(len(size)), size)
 
 
 class Sketches:
@@ -121,29 +170,45 @@ class Sketches:
         return join(texts, np.int64), join(keys, np.uint64), join(signs, np.int64), ~left.reshape(n, self.cells).any(1)
 
 
-def likeness(one: tuple, other: tuple, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Likeness of text left[i] of ``one`` to text right[i] of ``other`` (results of keys_of)."""
-    out = np.zeros(len(left))
-    open_ = np.arange(len(left))
-    cells = CELLS
+def differences(mine: tuple, theirs: tuple, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, key, sign) of all keys that one side of a pair has (sign -1: theirs); sides are (keys, pairs), sorted by pair."""
+    found, open_, cells = [], np.arange(n), CELLS
     while len(open_):
-        mine, theirs = _take(one, left[open_]), _take(other, right[open_])
-        sizes = np.bincount(mine[1], minlength=len(open_)) + np.bincount(theirs[1], minlength=len(open_))
-        text, _, _, whole = Sketches(len(open_), cells).add(*mine).add(*theirs, -1).peel()
-        differ = np.bincount(text, minlength=len(open_))
-        union = np.maximum(1, (sizes + differ) / 2)
-        out[open_[whole]] = np.where(sizes > 0, (sizes - differ) / 2 / union, 1.0)[whole]
+        sketches = Sketches(len(open_), cells)
+        for (key, pair), sign in ((mine, 1), (theirs, -1)):
+            at, nth = _spread(np.searchsorted(pair, open_), np.searchsorted(pair, open_, side="right"))
+            sketches.add(key[at], nth, sign)
+        pair, key, sign, whole = sketches.peel()
+        sure = whole[pair]
+        found.append((open_[pair[sure]], key[sure], sign[sure]))
         open_ = open_[~whole]
         cells *= GROW
-    return out
+    join = lambda i, kind: np.concatenate([f[i] for f in found] or [np.zeros(0, kind)])
+    return join(0, np.int64), join(1, np.uint64), join(2, np.int64)
 
 
-def _take(keys: tuple[np.ndarray, np.ndarray], picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the picked texts, numbered anew."""
-    begin, end = np.searchsorted(keys[1], picked), np.searchsorted(keys[1], picked, side="right")
-    size = end - begin
-    at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    return keys[0][at], np.repeat(np.arange(len(picked)), size)
+def compare_pairs(one: Keys, other: Keys, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, list[list[str]], list[list[str]]]:
+    """Likeness of text left[i] of ``one`` to text right[i] of ``other``, and the paragraphs that only the one or the other has."""
+    n = len(left)
+    (mine, my_pair), (theirs, their_pair) = one.of(left), other.of(right)
+    pair, key, sign = differences((one.key[mine], my_pair), (other.key[theirs], their_pair), n)
+    rest, only = [], []
+    for keys, paragraphs, of, side in ((one, mine, my_pair, sign > 0), (other, theirs, their_pair, sign < 0)):
+        with np.errstate(over="ignore"):
+            differs = np.isin(mix(keys.key[paragraphs] + of.astype(np.uint64) * _SALT), mix(key[side] + pair[side].astype(np.uint64) * _SALT))
+        rest.append(keys.pieces(paragraphs[differs], of[differs]))
+        only.append(_by_pair(pair[side], key[side], n))
+    differ = np.bincount(differences(*rest, n)[0], minlength=n)
+    sizes = one.size[left] + other.size[right]
+    return np.where(sizes > 0, (sizes - differ) / np.maximum(1, sizes + differ), 1.0), *only
+
+
+def _by_pair(pair: np.ndarray, key: np.ndarray, n: int) -> list[list[str]]:
+    """The keys of each pair as sorted hexadecimal digits."""
+    order = np.lexsort((key, pair))
+    digits = [f"{k:016x}" for k in key[order].tolist()]
+    ends = np.searchsorted(pair[order], np.arange(n), side="right").tolist()
+    return [digits[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def compare(texts: list[str]) -> dict[str, list]:
@@ -151,19 +216,24 @@ def compare(texts: list[str]) -> dict[str, list]:
     n = len(texts) - 1
     chars = [len(t) for t in texts[:n]]
     edited = [(t[: c - c // 3] + after[: c // 3]).encode("utf-8") for t, after, c in zip(texts[:n], texts[1:], chars, strict=True)]
-    own, new = keys_of([t.encode("utf-8") for t in texts]), keys_of(edited)
+    own, new = Keys([t.encode("utf-8") for t in texts]), Keys(edited)
     here = np.arange(n)
+    near_edited, lost, gained = compare_pairs(own, new, here, here)
     return {
         "n_chars": chars,
         "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
-        "fingerprint": Sketches(n, CELLS).add(*_take(own, here)).strings(),
-        "edited_fingerprint": Sketches(n, CELLS).add(*new).strings(),
-        "near_edited": likeness(own, new, here, here),
-        "near_next": likeness(own, own, here, here + 1),
+        "fingerprint": own.fingerprints(n),
+        "edited_fingerprint": new.fingerprints(n),
+        "near_edited": near_edited,
+        "near_next": compare_pairs(own, own, here, here + 1)[0],
+        "edited_lost": lost,
+        "edited_new": gained,
     }
 
 
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: edited_lost and edited_new: recovered digests of the paragraphs that only the text, or only the edited text, has.
+RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_lost array<string>, edited_new array<string>"
+_ARROW = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
 
 
 def neighbours(documents: DataFrame) -> DataFrame:
@@ -191,7 +261,7 @@ def neighbours(documents: DataFrame) -> DataFrame:
 
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("rank"))
     rows = rows.select("doc_id", "text", "rank", F.posexplode(places("rank")).alias("tail", "range")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartition(ranges, "range").sortWithinPartitions("range", "tail", F.desc("rank"), "h")
+    rows = rows.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions("range", "tail", F.desc("rank"), "h")
     return rows.select("range", "tail", "doc_id", "text")
 
 
@@ -212,7 +282,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                 texts.append(text.as_py())
                 size += len(texts[-1])
                 if tail or size > SLICE_BYTES and len(texts) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, doc_ids.type), *map(pa.array, compare(texts).values())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, doc_ids.type), *map(pa.array, compare(texts).values(), _ARROW)], names)
                     ids, texts, size = [], texts[-1:], len(texts[-1])
                 if tail:
                     done = True

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -64,9 +66,28 @@ def test_sections_of_odd_rows(odd, none):
 # ---------------------------------------------------------------- sketches
 
 
+def paragraphs(text):
+    """Its lines with words, as words."""
+    return Counter(tuple(x) for x in (re.findall(r"[^\x20\x09-\x0D]+", line) for line in text.split("\n")) if x)
+
+
+def pieces(text):
+    """Its paragraphs, cut after words whose hash divides."""
+    found = Counter()
+    for words, n in paragraphs(text).items():
+        cut = iblt.Words([" ".join(words).encode()]).hash % np.uint64(iblt.PIECE) == 0
+        piece = []
+        for i, (word, last) in enumerate(zip(words, cut, strict=True)):
+            piece.append(word)
+            if last or i == len(words) - 1:
+                found[tuple(piece)] += n
+                piece = []
+    return found
+
+
 def jaccard(a, b):
-    a, b = (set(iblt.keys_of([x.encode()])[0].tolist()) for x in (a, b))
-    return len(a & b) / len(a | b) if a | b else 1.0
+    a, b = pieces(a), pieces(b)
+    return (a & b).total() / (a | b).total() if a | b else 1.0
 
 
 def test_likeness_is_exact_whatever_the_difference():
@@ -87,12 +108,27 @@ def test_likeness_is_exact_whatever_the_difference():
         assert found["near_edited"][i] == pytest.approx(jaccard(t, edited))
 
 
-def test_peeling_recovers_the_difference():
-    a, b = iblt.keys_of([b"one two three\nfour five\nsix seven eight nine ten"]), iblt.keys_of([b"one two three\nfour six\nsix seven eight nine ten"])
-    text, key, sign, whole = iblt.Sketches(1, 96).add(*a).add(*b, -1).peel()
-    assert whole.all()
-    assert set(key[sign > 0].tolist()) == set(a[0].tolist()) - set(b[0].tolist())
-    assert set(key[sign < 0].tolist()) == set(b[0].tolist()) - set(a[0].tolist())
+def test_peeling_recovers_the_paragraphs_that_differ():
+    rng = random.Random(5)
+    texts = []
+    for n in (0, 1, 2, 9, 40, 400):
+        lines = [f"line {rng.randrange(60)} of {rng.randrange(3)}" for _ in range(n)]
+        texts += ["\n".join(lines), "\n\n".join(x if rng.random() < 0.8 else x + " y" for x in lines)]
+    one, other = iblt.Keys([t.encode() for t in texts[::2]]), iblt.Keys([t.encode() for t in texts[1::2]])
+    here = np.arange(len(texts) // 2)
+    near, lost, new = iblt.compare_pairs(one, other, here, here)
+    for i, (a, b) in enumerate(zip(texts[::2], texts[1::2], strict=True)):
+        mine, theirs = ({f"{k:016x}" for k in iblt.Keys([t.encode()]).key.tolist()} for t in (a, b))
+        assert set(lost[i]) == mine - theirs and set(new[i]) == theirs - mine
+        assert len(lost[i]) == (paragraphs(a) - paragraphs(b)).total() and len(new[i]) == (paragraphs(b) - paragraphs(a)).total()
+        assert near[i] == pytest.approx(jaccard(a, b))
+
+
+def test_recovered_digests_name_the_edited_paragraphs():
+    text = "first line of text\nsecond line of text\nthird line of text here"
+    found = iblt.compare([text, "other words in this one, long enough to fill a third"])
+    keys = [f"{k:016x}" for k in iblt.Keys([text.encode()]).key.tolist()]
+    assert keys[0] not in found["edited_lost"][0] and keys[2] in found["edited_lost"][0] and found["edited_new"][0]
 
 
 def test_equal_texts_have_equal_fingerprints():
