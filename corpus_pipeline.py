@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and n_tokens of every row; a null or empty text has no ids."""
-    return spm.encode(docs, spm.read_model())
+    return spm.encode(docs, spm.read_model(), REMEMBERED)
 
 
 STAGES = [
@@ -68,8 +68,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Spans that the last stage remembers in each Python worker.
+REMEMBERED = 40_000
+#: Most rows of an Arrow batch: batches of whole texts are in the memory of the JVM and of a Python worker, for each task.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder. Arrow batches of the session hold at most ``BATCH_ROWS`` rows from then on, since the last stage runs later."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         done = stage(spark, docs, sf_dir)

@@ -124,8 +124,8 @@ class Lattice:
     The id of a state is -1 for a character that no piece holds and -2 at the start.
     """
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> None:
+        self.vocabulary, self.remembered = vocabulary, remembered
         self.window = vocabulary.longest
         self._history: dict[int, tuple | None] = {}
         self._may_follow: dict[int, bool] = {}
@@ -187,7 +187,7 @@ class Lattice:
         key = before * len(self.vocabulary.pieces) + i
         known = self._may_follow.get(key)
         if known is None:
-            if len(self._may_follow) > 2 * REMEMBERED:
+            if len(self._may_follow) > 2 * self.remembered:
                 self._may_follow.clear()
             known = self._may_follow[key] = self._stays_apart(before, i)
         return known
@@ -330,12 +330,12 @@ class Stream:
 class Tokenizer:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, model: bytes) -> None:
-        self.vocabulary = Vocabulary(model)
-        self.lattice = Lattice(self.vocabulary)
+    def __init__(self, model: bytes, remembered: int = REMEMBERED) -> None:
+        self.vocabulary, self.remembered = Vocabulary(model), remembered
+        self.lattice = Lattice(self.vocabulary, remembered)
         #: Passes of new spans.
         self.window = Window(self.lattice)
-        #: Ids of spans as bytes, at most twice REMEMBERED and what a call needs: the older half goes when the newer is full.
+        #: Ids of spans as bytes, at most twice ``remembered`` and what a call needs: the older half goes when the newer is full.
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         line = "" if "\n" in self.vocabulary.alphabet else "\n"
@@ -366,7 +366,7 @@ class Tokenizer:
 
     def _learn(self, spans: Iterable[str]) -> dict[str, bytes]:
         """The table of remembered spans, with all of these: new ones pass the window in sorted order."""
-        if len(self._known) > REMEMBERED:
+        if len(self._known) > self.remembered:
             self._known, self._older = {}, self._known
         known, older, window, once = self._known, self._older, self.window, {}
         for span in sorted(set(spans).difference(known)):
@@ -392,9 +392,9 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer_of(model: bytes) -> Tokenizer:
+def tokenizer_of(model: bytes, remembered: int = REMEMBERED) -> Tokenizer:
     """The tokenizer of a model, once for each process."""
-    return Tokenizer(model)
+    return Tokenizer(model, remembered)
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -403,13 +403,13 @@ def read_model(path: str = MODEL) -> bytes:
         return file.read()
 
 
-def encode(documents: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, ids (array<int>) and n_tokens of all documents (doc_id, text)."""
+def encode(documents: DataFrame, model: bytes, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, ids (array<int>) and n_tokens of all documents (doc_id, text); ``remembered`` spans cost memory and save time, ids are the same."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(shared.value)
+        tokenizer = tokenizer_of(shared.value, remembered)
         for part in slices(batches, "text"):
             ids = tokenizer.encode_all([t.decode("utf-8") for t in texts_of(part, "text")])
             sizes = np.array([len(x) for x in ids], np.int32)
