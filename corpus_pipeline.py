@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and n_tokens of every row; a null or empty text has no ids."""
-    return spm.encode(docs, spm.read_model(), REMEMBERED)
+    return spm.encode(docs, spm.read_model(), REMEMBERED, TOGETHER)
 
 
 STAGES = [
@@ -68,8 +68,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-#: Spans that the last stage remembers in each Python worker.
-REMEMBERED = 40_000
+#: Spans that the last stage remembers in each Python worker, and bytes of text it works on together.
+REMEMBERED, TOGETHER = 40_000, 1 << 18
 #: Most rows of an Arrow batch: batches of whole texts are in the memory of the JVM and of a Python worker, for each task.
 BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 

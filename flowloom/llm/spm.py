@@ -44,6 +44,8 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Spans that are remembered, and the longest of them.
 REMEMBERED, REMEMBERED_LENGTH = 150_000, 64
+#: Bytes of text whose new spans are sorted together.
+TOGETHER = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -124,8 +126,8 @@ class Lattice:
     The id of a state is -1 for a character that no piece holds and -2 at the start.
     """
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> None:
-        self.vocabulary, self.remembered = vocabulary, remembered
+    def __init__(self, vocabulary: Vocabulary, remembered: int | None = None) -> None:
+        self.vocabulary, self.remembered = vocabulary, REMEMBERED if remembered is None else remembered
         self.window = vocabulary.longest
         self._history: dict[int, tuple | None] = {}
         self._may_follow: dict[int, bool] = {}
@@ -330,8 +332,8 @@ class Stream:
 class Tokenizer:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, model: bytes, remembered: int = REMEMBERED) -> None:
-        self.vocabulary, self.remembered = Vocabulary(model), remembered
+    def __init__(self, model: bytes, remembered: int | None = None) -> None:
+        self.vocabulary, self.remembered = Vocabulary(model), REMEMBERED if remembered is None else remembered
         self.lattice = Lattice(self.vocabulary, remembered)
         #: Passes of new spans.
         self.window = Window(self.lattice)
@@ -403,14 +405,17 @@ def read_model(path: str = MODEL) -> bytes:
         return file.read()
 
 
-def encode(documents: DataFrame, model: bytes, remembered: int = REMEMBERED) -> DataFrame:
-    """doc_id, ids (array<int>) and n_tokens of all documents (doc_id, text); ``remembered`` spans cost memory and save time, ids are the same."""
+def encode(documents: DataFrame, model: bytes, remembered: int = REMEMBERED, together: int = TOGETHER) -> DataFrame:
+    """doc_id, ids (array<int>) and n_tokens of all documents (doc_id, text).
+
+    More ``remembered`` spans and more bytes of text worked on ``together`` cost memory and save time; ids are the same.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(shared.value, remembered)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", together):
             ids = tokenizer.encode_all([t.decode("utf-8") for t in texts_of(part, "text")])
             sizes = np.array([len(x) for x in ids], np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
