@@ -37,8 +37,8 @@ def _some(x: Column) -> Column:
     return F.when(F.size(x) > 0, x)
 
 
-def effect_json(effects: Column) -> Column:
-    """Effects as in documents: topic for messages alone, there null where unknown; async only if true.
+def effect_json(effects: Column, alt: bool = False) -> Column:
+    """Effects as in documents: topic for messages alone, there null where unknown; async, and alt if the effects have it, only if true.
 
     Whether topic is written depends on the type, so each effect is a JSON text of its own.
     """
@@ -49,7 +49,8 @@ def effect_json(effects: Column) -> Column:
         hint = F.coalesce(F.concat(F.lit(',"topic_expr":'), _quoted(F.nullif(e["topic_expr"], F.lit("")))), F.lit(""))
         pos = F.coalesce(F.concat(F.lit(',"pos":'), _quoted(F.nullif(e["pos"], F.lit("")))), F.lit(""))
         later = F.when(e["async"], ',"async":true').otherwise("")
-        return F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), topic, hint, pos, later, F.lit("}"))
+        other = F.when(e["alt"], ',"alt":true').otherwise("") if alt else F.lit("")
+        return F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), topic, hint, pos, later, other, F.lit("}"))
 
     return F.transform(effects, one)
 
@@ -66,7 +67,11 @@ def flow_documents(flows: DataFrame, nodes: DataFrame, edges: DataFrame, dropped
     flows: flow_id, kind, method, path, topic, func, pos, error_exits, returns, success, raw_nodes and effects of the entrypoint;
     nodes: flow_id, id, ord, name, pkg, pos, kind, resolution, async, collapsed, effects, error_exits, returns; edges: flow_id, ord, from_id, to_id, async,
     kind, label; dropped: flow_id, dropped_by, n. Fields that are empty are left out, except those that tell something by it.
+    Not needed: of nodes condition, is_gate, branch, checks, uses, error, fallible and checks_overflow; of flows request and response.
     """
+    more = lambda rows, name, make=F.col: make(name).alias(name) if name in rows.columns else F.lit(None).cast("string").alias(name)
+    true = lambda c: F.when(F.col(c), True)
+    alt = lambda rows, c: "alt" in rows.schema[c].dataType.elementType.names
     trim = lambda c: trim_module(F.col(c), F.lit(module))
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     node = F.struct(
@@ -74,10 +79,12 @@ def flow_documents(flows: DataFrame, nodes: DataFrame, edges: DataFrame, dropped
         F.to_json(
             F.struct(
                 "id", trim("name").alias("func"), F.col("pkg").alias("package"), empty("pos").alias("pos"), "kind", "async", "resolution",
-                _some(collapsed_list(F.col("collapsed"))).alias("collapsed"), _some(F.col("error_exits")).alias("error_exits"), empty("returns").alias("returns"),
+                _some(collapsed_list(F.col("collapsed"))).alias("collapsed"), _some(F.col("error_exits")).alias("error_exits"),
+                more(nodes, "condition", empty), more(nodes, "is_gate", true).alias("gate"), more(nodes, "branch", true), more(nodes, "checks", empty), more(nodes, "uses", lambda c: _some(F.col(c))), more(nodes, "error"),
+                more(nodes, "fallible", true), more(nodes, "checks_overflow", lambda c: F.when(F.col(c) > 0, F.col(c))), empty("returns").alias("returns"),
             )
         ).alias("json"),
-        effect_json(F.col("effects")).alias("effects"),
+        effect_json(F.col("effects"), alt(nodes, "effects")).alias("effects"),
     )
     with_effects = lambda j, e: F.when(F.size(e) > 0, F.concat(F.substr(j, F.lit(1), F.length(j) - 1), F.lit(',"effects":['), F.array_join(e, ","), F.lit("]}"))).otherwise(j)
     listed = lambda c: F.when(F.size(c) > 0, F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))).otherwise("null")
@@ -90,6 +97,7 @@ def flow_documents(flows: DataFrame, nodes: DataFrame, edges: DataFrame, dropped
         F.struct(
             F.col("flow_id").alias("id"), F.col("flow_kind").alias("kind"), empty("method").alias("method"), empty("path").alias("path"), empty("topic").alias("topic"), trim("func").alias("func"),
             empty("flow_pos").alias("pos"), _some(F.col("flow_exits")).alias("error_exits"), empty("flow_returns").alias("returns"), empty("success").alias("success"),
+            more(flows, "request"), more(flows, "response"),
         )
     )
     none = F.array().cast("array<string>")
@@ -97,7 +105,7 @@ def flow_documents(flows: DataFrame, nodes: DataFrame, edges: DataFrame, dropped
     stats = F.to_json(F.struct(F.col("raw_nodes"), F.size(n).alias("kept_nodes"), F.coalesce("dropped", F.create_map().cast("map<string,int>")).alias("dropped_by_rule")))
     head = F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(module).alias("module")))
     doc = F.concat(
-        F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"entrypoint":'), with_effects(entry, effect_json(F.col("flow_effects"))),
+        F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"entrypoint":'), with_effects(entry, effect_json(F.col("flow_effects"), alt(flows, "flow_effects"))),
         F.lit(',"nodes":'), listed(n), F.lit(',"edges":'), listed(e), F.lit(',"stats":'), stats, F.lit("}"),
     )
     return rows.select("flow_id", doc.alias("doc"), F.concat(file_name(F.col("flow_id")), F.lit(".json")).alias("file"))

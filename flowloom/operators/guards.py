@@ -153,11 +153,14 @@ def region_has_work(regions: DataFrame, work: DataFrame, keys: list[str]) -> Dat
 
 
 def alternatives(effects: DataFrame, keys: list[str], id_: str) -> DataFrame:
-    """effects (keys, id, pre, post) with alt: another of the same node is in a block neither of which dominates the other."""
-    other = effects.select(*keys, F.col(id_).alias("_id"), F.col("pre").alias("_pre"), F.col("post").alias("_post"))
-    apart = ~((F.col("pre") <= F.col("_pre")) & (F.col("_post") <= F.col("post"))) & ~((F.col("_pre") <= F.col("pre")) & (F.col("post") <= F.col("_post")))
-    alt = effects.join(other, keys).where((F.col(id_) != F.col("_id")) & apart).select(*keys, id_).distinct().withColumn("alt", F.lit(True))
-    return effects.join(alt, [*keys, id_], "left").withColumn("alt", F.coalesce("alt", F.lit(False)))
+    """effects (keys, id, pre, post) with alt: another of the same node is in a block neither of which dominates the other.
+
+    In the order of pre, longest first, an interval holds or is held by an earlier one unless that ends before it, and by a later one unless that
+    ends behind it; so the least end before and the greatest end behind tell, without pairs.
+    """
+    w = Window.partitionBy(*keys).orderBy("pre", F.desc("post"), id_)
+    before, behind = F.min("post").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.max("post").over(w.rowsBetween(1, Window.unboundedFollowing))
+    return effects.withColumn("alt", F.coalesce(before < F.col("post"), F.lit(False)) | F.coalesce(behind > F.col("post"), F.lit(False)))
 
 
 # ---------------------------------------------------------------- choosing
@@ -208,12 +211,22 @@ def choose_decisions(nodes: DataFrame, found: DataFrame, most: int = PER_FUNCTIO
     """
     used = nodes.groupBy("flow_id").agg((1 + F.count_if((F.col("depth") > 0) & F.col("dropped_by").isNull())).alias("used"))
     steps = nodes.where("kind = 'step' and dropped_by is null").select("flow_id", "node", "fn_id", "depth", "bfs_ord")
-    rows = steps.join(found, "fn_id").join(used, "flow_id").withColumns({"_score": score(F.col("gate"), F.col("exit_kind")), "_cost": cost(F.col("gate"))})
-    rows = per_function_cap(rows, ["flow_id", "node"], "_score", ["order_pos", "decision"], most)
+    fits, left = fit_decisions(steps.join(found, "fn_id").withColumn("bonus", F.lit(0)), used, most, elements)
+    return fits.select("flow_id", "node", *found.columns), left
+
+
+def fit_decisions(rows: DataFrame, used: DataFrame, most: int = PER_FUNCTION, elements: int = ELEMENTS) -> tuple[DataFrame, DataFrame]:
+    """(rows that are shown, overflow): flow_id, node, depth, bfs_ord, decision, order_pos, gate, exit_kind, bonus, beside what a flow has used.
+
+    The bonus counts among the decisions of one step, not within the flow. What a step has beyond ``most`` is left out
+    silently; overflow counts what does not fit in the flow.
+    """
+    rows = rows.join(used, "flow_id").withColumns({"_best": score(F.col("gate"), F.col("exit_kind")) + F.col("bonus"), "_score": score(F.col("gate"), F.col("exit_kind")), "_cost": cost(F.col("gate"))})
+    rows = per_function_cap(rows, ["flow_id", "node"], "_best", ["order_pos", "decision"], most)
     order = ["depth", "bfs_ord", F.desc("_score"), "order_pos", "decision"]
     filled = fill_budget(rows.where("chosen"), ["flow_id"], order, "_cost", F.lit(elements) - F.col("used"))
-    left = filled.groupBy("flow_id", "node").agg((F.max("overflow") + F.count_if(~F.col("fits"))).alias("overflow")).where("overflow > 0")
-    return filled.where("fits").select("flow_id", "node", *found.columns), left
+    left = filled.groupBy("flow_id", "node").agg(F.count_if(~F.col("fits")).alias("overflow")).where("overflow > 0")
+    return filled.where("fits").drop("used", "_best", "_score", "_cost", "chosen", "overflow", "fits"), left
 
 
 def attach(chosen: DataFrame, calls: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +273,7 @@ def tag_rules(tag: Column) -> Column:
 
 def union_rules(a: Column, b: Column) -> Column:
     """Two lists of rules without repetition, in order."""
-    parts = F.transform(F.split(F.concat_ws(", ", a, b), ", "), F.trim)
+    parts = F.transform(F.split(F.concat_ws(", ", a, b), ", "), lambda x: F.trim(x))  # trim itself would take the index as characters
     return F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), ", ")
 
 

@@ -136,7 +136,7 @@ def splice(edges: DataFrame, collapsed: DataFrame, keys: list[str] | None = None
     return merged(whole.unionByName(ends.join(at_gone("dst"), [*keys, "dst"], "left_anti").select(*whole.columns)).where("src != dst"))
 
 
-_EFFECT = "struct<type:string,detail:string,topic:string,topic_expr:string,pos:string,async:boolean>"
+_EFFECT = "struct<type:string,detail:string,topic:string,topic_expr:string,pos:string,async:boolean,alt:boolean>"
 PRUNED = (
     f"flow_id string, nodes array<struct<node:string,ord:int,collapsed:array<string>,effects:array<{_EFFECT}>>>, "
     "edges array<struct<src:string,dst:string,ord:int,seq:long,async:boolean,kind:string,label:string>>, dropped map<string,int>"
@@ -226,8 +226,10 @@ def prune(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     most ``MAX_NODES`` nodes. nodes also has gate, inline_name, effects (array); edges also has ord, the place
     of the edge among those of its source.
     """
+    known = nodes.schema["effects"].dataType.elementType.names
+    alt = lambda e: e["alt"] if "alt" in known else F.lit(False)
     effects = F.transform(
-        F.coalesce("effects", F.array()), lambda e: F.struct(*(e[c].alias(c) for c in ("type", "detail", "topic", "topic_expr", "pos", "async")))
+        F.coalesce("effects", F.array()), lambda e: F.struct(*(e[c].alias(c) for c in ("type", "detail", "topic", "topic_expr", "pos", "async")), alt(e).alias("alt"))
     )
     node = F.struct("node", "bfs_ord", "depth", "dropped_by", "collapse", "gate", "inline_name", effects.alias("effects"))
     edge = F.struct("src", "dst", "ord", "seq", "async", "kind", "label")

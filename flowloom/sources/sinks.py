@@ -41,6 +41,14 @@ def write_files(documents: DataFrame, folder: str, limit: int = 100_000) -> list
     return [r.file for r in rows]
 
 
+def write_index(index: DataFrame, folder: str) -> str:
+    """The index document (one row) as ``index.json`` beside the documents; its JSON."""
+    doc = index.select(F.to_json(F.struct(*index.columns)).alias("doc")).first().doc
+    with open(os.path.join(folder, "index.json"), "w", encoding="utf-8") as file:
+        file.write(pretty(doc))
+    return doc
+
+
 def html_page(flows: list[tuple[str, str]], index: str | None, tool: str = "flowloom") -> str:
     """One page for documents (label, JSON) and the index; data cannot end the script."""
     if not flows:
