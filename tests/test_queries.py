@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from flowloom.plans import queries
+from flowloom.plans import fact_queries, queries  # noqa: F401  both add to the same lists
 from tests.conftest import SMALL, same_rows
 
 
