@@ -64,7 +64,7 @@ def strictly_above(edges: DataFrame, marked: DataFrame, keys: list[str] | None =
     keys = keys or []
     edges = tables.keep(edges.select(*keys, "src", "dst").distinct(), "edges")
     there = reachable(edges, marked, keys, reverse=True).withColumnRenamed("node", "dst")
-    return edges.join(there, [*keys, "dst"], "left_semi").select(*keys, F.col("src").alias("node")).distinct()
+    return edges.join(there.hint("merge"), [*keys, "dst"], "left_semi").select(*keys, F.col("src").alias("node")).distinct()
 
 
 def ordered_bfs(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_depth: int = MAX_DEPTH, shared: bool = False, max_nodes: int | None = None) -> DataFrame:

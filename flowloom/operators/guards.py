@@ -221,7 +221,7 @@ def fit_decisions(rows: DataFrame, used: DataFrame, most: int = PER_FUNCTION, el
     The bonus counts among the decisions of one step, not within the flow. What a step has beyond ``most`` is left out
     silently; overflow counts what does not fit in the flow.
     """
-    rows = rows.join(used, "flow_id").withColumns({"_best": score(F.col("gate"), F.col("exit_kind")) + F.col("bonus"), "_score": score(F.col("gate"), F.col("exit_kind")), "_cost": cost(F.col("gate"))})
+    rows = rows.join(used.hint("merge"), "flow_id").withColumns({"_best": score(F.col("gate"), F.col("exit_kind")) + F.col("bonus"), "_score": score(F.col("gate"), F.col("exit_kind")), "_cost": cost(F.col("gate"))})
     rows = per_function_cap(rows, ["flow_id", "node"], "_best", ["order_pos", "decision"], most)
     order = ["depth", "bfs_ord", F.desc("_score"), "order_pos", "decision"]
     filled = fill_budget(rows.where("chosen"), ["flow_id"], order, "_cost", F.lit(elements) - F.col("used"))
@@ -243,7 +243,7 @@ def attach(chosen: DataFrame, calls: DataFrame, keys: list[str]) -> tuple[DataFr
     chain = chosen.withColumn("_p", before).select(
         *keys, F.col("_p.decision").alias("src"), F.col("decision").alias("dst"), F.when(F.col("_p").isNotNull(), "pass").alias("kind"), (~F.col("_p.fail_when")).cast("string").alias("label")
     )
-    both = calls.join(chosen, keys)
+    both = calls.join(chosen.hint("merge"), keys)
     within = (F.col("pre") <= F.col("b_pre")) & (F.col("b_post") <= F.col("post"))
     other = F.coalesce(F.col("branch") & (F.col("skip_pre") <= F.col("b_pre")) & (F.col("b_post") <= F.col("skip_post")), F.lit(False))
     yes_no = lambda flag: F.when(flag, "yes").otherwise("no")

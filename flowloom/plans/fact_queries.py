@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowloom import tables
 from flowloom.functions import predicates, text
 from flowloom.operators import documents, effects, entrypoints, graph, guards, rules, values
 from flowloom.plans import annotate
@@ -312,7 +313,7 @@ UNION ALL SELECT f, 'decision:entry' || f || ':' || n, CASE WHEN e = 1 THEN 'exi
 UNION ALL SELECT f, CASE WHEN n IS NULL THEN 'entry' || f ELSE 'decision:entry' || f || ':' || n END, call, CASE WHEN n IS NOT NULL THEN 'pass' END, CASE WHEN n IS NOT NULL THEN CAST(NOT fail_when AS VARCHAR) END FROM t""")
 def q61_annotated_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a flow: its lines are calls of the entry in a row, each followed by a check of its result; a third of the checks has no name."""
-    l = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("flow_id"), "n", (F.col("l_partkey") % 3).alias("e"), (F.col("l_quantity") > 25).alias("fail_when"))  # noqa: E741
+    l = tables.keep(_lines(spark, sf_dir).select(F.col("l_orderkey").alias("flow_id"), "n", (F.col("l_partkey") % 3).alias("e"), (F.col("l_quantity") > 25).alias("fail_when")), "lines")  # noqa: E741
     entry = F.concat(F.lit("entry"), F.col("flow_id").cast("string"))
     call = F.concat(F.lit("call"), F.col("n").cast("string"))
     none = F.lit(None).cast("string")

@@ -1,11 +1,14 @@
 """Decisions, exits, gates and contracts in documents, and the command over a folder of tables."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 
+from flowloom import tables
 from flowloom.__main__ import main
-from flowloom.plans import scan
+from flowloom.plans import annotate, fact_queries, scan
+from tests.conftest import SMALL
 
 M = "example.com/shop"
 
@@ -92,3 +95,15 @@ def test_the_command(spark, folder, capsys, tmp_path):
     (folder / "callee.json").unlink()
     with pytest.raises(FileNotFoundError):
         main(["scan", facts, "--module", M])
+
+
+def test_no_table_of_flows_goes_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def keep(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return tables.keep(df, label)
+
+    monkeypatch.setattr(annotate, "tables", SimpleNamespace(keep=keep))
+    assert fact_queries.q61_annotated_flows(spark, SMALL).count() > 0
+    assert len(plans) > 10 and [label for label, plan in plans if "Broadcast" in plan] == []
