@@ -172,13 +172,24 @@ def class_hierarchy(sites: DataFrame, methods: DataFrame, interfaces: DataFrame)
     sites: site, mode, callee_fn, callee_pkg, callee_type, callee_name; methods: type_pkg, type_name,
     method, fn_id; interfaces: iface_pkg, iface_name, method.
     """
-    static = sites.where("callee_fn is not null").select("site", F.col("callee_fn").alias("callee"))
+    call = lambda fn, pkg, type_, name: F.struct(fn.alias("fn"), pkg.alias("iface_pkg"), type_.alias("iface_name"), name.alias("method"))
+    none = F.lit(None).cast("string")
+    static = sites.where("callee_fn is not null").select("site", call(F.col("callee_fn"), none, none, none).alias("call"))
+    dynamic = sites.where("mode = 'invoke'").select("site", call(none, F.col("callee_pkg"), F.col("callee_type"), F.col("callee_name")).alias("call"))
     want = interfaces.groupBy("iface_pkg", "iface_name").agg(F.countDistinct("method").alias("want"))
     has = interfaces.join(methods, "method").groupBy("iface_pkg", "iface_name", "type_pkg", "type_name").agg(F.countDistinct("method").alias("has"))
     fits = has.join(want, ["iface_pkg", "iface_name"]).where("has = want").drop("has", "want")
-    calls = sites.where("mode = 'invoke'").select("site", F.col("callee_pkg").alias("iface_pkg"), F.col("callee_type").alias("iface_name"), F.col("callee_name").alias("method"))
-    dynamic = calls.join(fits, ["iface_pkg", "iface_name"]).join(methods, ["type_pkg", "type_name", "method"]).select("site", F.col("fn_id").alias("callee"))
-    return static.unionByName(dynamic).distinct()
+    called = dynamic.select("call.iface_pkg", "call.iface_name", "call.method").distinct()
+    targets = called.join(fits, ["iface_pkg", "iface_name"]).join(methods, ["type_pkg", "type_name", "method"]).select("iface_pkg", "iface_name", "method", F.col("fn_id").alias("callee")).distinct()
+    ways = targets.groupBy("callee").agg(F.collect_list(call(none, F.col("iface_pkg"), F.col("iface_name"), F.col("method"))).alias("ways"))
+    targets = tables.keep(targets.join(ways, "callee"), "targets")
+    # a site's calls are few and stay together, so a pair that several of them give is left to the first and no pairs are shuffled
+    calls = static.unionByName(dynamic).repartition("site").distinct()
+    calls = calls.withColumn("calls", F.collect_list("call").over(Window.partitionBy("site")))
+    calls = calls.select("site", "calls", "call", "call.*")
+    pairs = calls.join(tables.small(targets), ["iface_pkg", "iface_name", "method"], "left").withColumn("callee", F.coalesce("fn", "callee")).where("callee is not null")
+    earlier = F.exists("calls", lambda c: F.coalesce(c["fn"] == F.col("callee"), F.lit(False))) | (F.get(F.array_intersect("calls", "ways"), F.lit(0)) != F.col("call"))
+    return pairs.where(F.col("fn").isNotNull() | (F.size("calls") == 1) | ~earlier).select("site", "callee")
 
 
 def type_flow(flows: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:

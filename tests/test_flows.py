@@ -169,6 +169,17 @@ def test_call_graphs(spark):
         graph.build_call_graph(coarse, lambda: fine, cone, "x")
 
 
+def test_calls_of_several_ways_are_one_pair_and_pairs_are_not_shuffled(spark):
+    rows = [("s1", "invoke", None, "p", "I", "M"), ("s1", "invoke", None, "p", "J", "M"), ("s1", "invoke", "A.M", None, None, None), ("s1", "invoke", None, "p", "J", "M"), ("s2", "invoke", "B.N", "p", "I", "M"), ("s3", "invoke", None, "p", "None", "M"), ("s4", "static", None, "p", "I", "M")]
+    sites = spark.createDataFrame(rows, "site string, mode string, callee_fn string, callee_pkg string, callee_type string, callee_name string")
+    methods = spark.createDataFrame([("p", t, m, f"{t}.{m}") for t, m in (("A", "M"), ("A", "N"), ("B", "M"), ("C", "M"), ("C", "N"))], "type_pkg string, type_name string, method string, fn_id string")
+    interfaces = spark.createDataFrame([("p", "I", "M"), ("p", "I", "N"), ("p", "J", "M")], "iface_pkg string, iface_name string, method string")
+    found = graph.class_hierarchy(sites, methods, interfaces)
+    assert sorted(map(tuple, found.collect())) == [("s1", "A.M"), ("s1", "B.M"), ("s1", "C.M"), ("s2", "A.M"), ("s2", "B.N"), ("s2", "C.M")]
+    plan = found.groupBy("site").agg(F.min("callee"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Exchange ") == 1 and plan.count(" Sort ") == 1
+
+
 def test_type_flow_beyond_its_rounds_falls_back_with_a_warning(spark):
     flows = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
     seeds = spark.createDataFrame([("a", "p.A")], "value string, type string")
