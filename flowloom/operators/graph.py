@@ -245,14 +245,14 @@ def cone(calls: DataFrame, functions: DataFrame, roots: DataFrame) -> DataFrame:
     return reachable(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).join(bodies, "src", "left_semi"), roots)
 
 
-def extract(sites: DataFrame, callees: DataFrame, functions: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
+def extract(sites: DataFrame, callees: DataFrame, functions: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int | None = MAX_NODES) -> tuple[DataFrame, DataFrame]:
     """Raw flows of all roots in one search: (nodes, edges).
 
     sites: caller, site, ord (source order), seq, async, block, effect (null or any), dynamic_name (name
     of the terminal an unresolved call becomes, null where it is none); callees: site, callee (declared
     functions in order callee_ord), resolution; functions: fn_id, visit (has a body and is in the
     module); roots: flow_id, fn_id. Nodes: flow_id, node, kind, resolution, depth, bfs_ord. Edges:
-    flow_id, src, dst, seq, async, site. Nodes at ``max_depth``, and those found once a flow has ``max_nodes``, are truncated terminals.
+    flow_id, src, dst, seq, async, site. Nodes at ``max_depth``, and those found once a flow has ``max_nodes`` (None: any number), are truncated terminals.
     """
     plain = sites.where("effect is null")
     known = callees.where("callee is not null").join(functions.where("visit").select(F.col("fn_id").alias("callee")), "callee", "left_semi")
@@ -263,7 +263,8 @@ def extract(sites: DataFrame, callees: DataFrame, functions: DataFrame, roots: D
     ordered = hops.groupBy(F.col("caller").alias("src"), "dst").agg(F.min("ord").alias("ord"))
     found = ordered_bfs(ordered, roots.select("flow_id", F.col("fn_id").alias("node")), ["flow_id"], max_depth, shared=True, max_nodes=max_nodes)
     kinds = hops.groupBy(F.col("dst").alias("node")).agg(F.max("kind").alias("kind"))
-    cut = ((F.col("depth") >= max_depth) | (F.col("bfs_ord") >= max_nodes - 1)) & (F.col("depth") > 0)
+    full = F.lit(False) if max_nodes is None else F.col("bfs_ord") >= max_nodes - 1
+    cut = ((F.col("depth") >= max_depth) | full) & (F.col("depth") > 0)
     expanded = tables.keep(found.withColumn("cut", cut), "flow-nodes")
     live = expanded.where("not cut").select("flow_id", F.col("node").alias("caller"))
     edges = live.join(hops, "caller").join(expanded.select("flow_id", F.col("node").alias("dst")), ["flow_id", "dst"], "left_semi")
